@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ _HYPHENS = "‐‑﹣－"
 # Characters without a mark on the page, besides the format characters (category Cf).
 _UNSEEN = "͏ᅟᅠ឴឵ㅤﾠ"
 _BLANK, _LINE = 0x20, 0x0A
+_WORK = 1 << 18  # code points worked on at once
 _SAME = {"<wide>", "<narrow>", "<noBreak>", "<compat>"}
 _HANGUL = range(0xAC00, 0xAC00 + 11172)
 
@@ -40,6 +42,7 @@ def _decomposition(ch: str) -> str | None:
     return "".join(chr(int(c, 16)) for c in codes)
 
 
+@cache
 def mapping() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(offsets, targets, classes, pairs) over all code points: what each becomes, its combining class, and what pairs compose.
 
@@ -75,10 +78,10 @@ def mapping() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     blank_codes = {ord(c) for c in blanks}
     to = {code: [c if c == _LINE else _BLANK if c in blank_codes else drawn.get(c, c) for c in out] for code, out in to.items()}
 
-    lengths = np.ones(0x110000, np.int64)
+    lengths = np.ones(0x110000, np.int32)
     for code, out in to.items():
         lengths[code] = len(out)
-    ends = np.cumsum(lengths)
+    ends = np.cumsum(lengths, dtype=np.int32)
     offsets = ends - lengths
     targets = np.zeros(ends[-1], np.uint32)
     targets[offsets[lengths == 1]] = np.nonzero(lengths == 1)[0]
@@ -93,7 +96,7 @@ def mapping() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             a, b = (int(c, 16) for c in d.split())
             pairs.append((a << 21 | b, code))
     pairs.sort()
-    return np.append(offsets, ends[-1]), targets, classes, np.array(pairs, np.int64)
+    return np.append(offsets, ends[-1:]), targets, classes, np.array(pairs, np.int64)
 
 
 def canonical_codes(codes: np.ndarray, rows: np.ndarray, table) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +167,19 @@ def _recompose(codes, cls, cluster, hit, pairs):
     return codes, keep
 
 
+def _some(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts in groups of about _WORK code points."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text.as_py())
+        size += len(group[-1])
+        if size >= _WORK:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def canonical(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, raw, canonical), raw being the text's hash: one form for all texts that a reader can't tell apart, different forms for others.
 
@@ -187,16 +203,17 @@ def canonical(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = batch["text"].to_pylist()
-            codes = np.frombuffer("".join(bodies).encode("utf-32-le", "surrogatepass"), np.uint32)
-            rows = np.repeat(np.arange(len(bodies)), [len(b) for b in bodies])
-            codes, rows = canonical_codes(codes, rows, table.value)
-            ends = np.searchsorted(rows, np.arange(len(bodies)), "right")
-            whole = codes.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
-            out, start = [], 0
-            for end in ends.tolist():
-                out.append(whole[start:end])
-                start = end
+            out = []
+            for bodies in _some(batch["text"]):
+                codes = np.frombuffer("".join(bodies).encode("utf-32-le", "surrogatepass"), np.uint32)
+                rows = np.repeat(np.arange(len(bodies), dtype=np.int32), [len(b) for b in bodies])
+                codes, rows = canonical_codes(codes, rows, table.value)
+                ends = np.searchsorted(rows, np.arange(len(bodies)), "right")
+                whole = codes.tobytes().decode("utf-32-le", "surrogatepass")
+                start = 0
+                for end in ends.tolist():
+                    out.append(whole[start:end])
+                    start = end
             yield pa.RecordBatch.from_arrays([batch["key"], batch["raw"], pa.array(out, pa.string())], ["key", "raw", "canonical"])
 
     done = named.where(~plain).mapInArrow(rewrite, f"key {kind}, raw long, canonical string")
