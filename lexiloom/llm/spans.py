@@ -173,7 +173,7 @@ def shared_spans(docs: DataFrame, key: str, text: str, length: int = 120, anchor
     parts = settled.unionByName(at_ends)
     stretches = seen.select("anchor", "class", "doc", "start").join(parts, ["anchor", "class"]).select("doc", "start", F.explode("parts").alias("p"))
     stretches = stretches.select("doc", (F.col("start") + F.col("p.a")).alias("span_start"), (F.col("start") + F.col("p.b")).alias("span_end"))
-    united = continuous_periods(stretches, ["doc"], "span_start", "span_end").where("kind = 'period'")
+    united = continuous_periods(checkpointed(stretches), ["doc"], "span_start", "span_end").where("kind = 'period'")
     return united.select(F.col("doc").alias(key), "span_start", "span_end")
 
 
