@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import chunks, lookalikes, packing, spans, tokens
+from lexiloom.llm import chunks, lookalikes, neighbours, packing, spans, tokens
 from lexiloom.session import checkpointed, read_table
 
 #: Tokens of a container in the packing queries.
@@ -38,6 +38,35 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).select("field", "item_id", "piece_no", "n_pieces", "piece_start", "piece_end", "piece")
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.usable(read_table(spark, sf_dir, "vectors"), "vec_id", "vectors", "dimension", "model")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = read_table(spark, sf_dir, "search_requests").where("k BETWEEN 1 AND 100 AND vec_id IS NOT NULL").select(F.col("vec_id").alias("id"), "k")
+    near = neighbours.most_similar(_vectors(spark, sf_dir), asked)
+    return near.select(F.least("id", "other").alias("vec_id_a"), F.greatest("id", "other").alias("vec_id_b")).distinct()
+
+
+def _every_50th(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "vectors").where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.lit(10).alias("k"))
+
+
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar vectors of every vector whose id is divisible by 50, against all rows."""
+    near = neighbours.most_similar(_vectors(spark, sf_dir), _every_50th(spark, sf_dir))
+    return near.select(F.col("id").alias("vec_id"), "rank", F.col("other").alias("other_vec_id"), F.round("cosine", 4).alias("cosine"))
+
+
+def p6_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the true ten most similar vectors of the same queries, how many were found."""
+    index, asked = checkpointed(_vectors(spark, sf_dir)), _every_50th(spark, sf_dir)
+    true = neighbours.brute_force(index, asked).select("id", "other")
+    found = neighbours.most_similar(index, asked).select("id", "other", F.lit(1).alias("hit"))
+    sums = true.join(found, ["id", "other"], "left").agg(F.count(F.lit(1)).alias("pairs"), F.count("hit").alias("found"))
+    return sums.select("pairs", "found", (F.col("found") >= 0.9 * F.col("pairs")).alias("enough"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -71,8 +100,17 @@ def p9_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeated_sentences(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-_QUERIES = [p1_found, p1_canonical, p3_found, p3_pieces, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_shared, p9_without_repeats]
+_QUERIES = [p1_found, p1_canonical, p3_found, p3_pieces, p6_found, p6_neighbours, p6_recall, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_shared, p9_without_repeats]
+_UNIT = """WITH v AS (SELECT DISTINCT vec_id, coalesce(model, '') || ':' || len(vectors) AS model, CAST(vectors AS DOUBLE[]) AS v FROM vectors
+        WHERE vec_id IS NOT NULL AND len(vectors) = dimension AND len(vectors) > 0
+        AND len(list_filter(vectors, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vectors, x -> x <> 0)) > 0)"""
+_NEAR = """, near AS (SELECT q.vec_id, n.vec_id AS other, q.k, list_cosine_similarity(q.v, n.v) AS cosine,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, n.v) DESC, n.vec_id) AS rank
+        FROM q JOIN v n ON q.model = n.model AND q.vec_id <> n.vec_id)"""
 _SQL = {
+    "p6_found": _UNIT + """, q AS (SELECT v.*, k FROM v JOIN (SELECT vec_id, max(k) AS k FROM search_requests WHERE k BETWEEN 1 AND 100 GROUP BY vec_id) r USING (vec_id))""" + _NEAR
+    + " SELECT DISTINCT least(vec_id, other) AS vec_id_a, greatest(vec_id, other) AS vec_id_b FROM near WHERE rank <= k",
+    "p6_neighbours": _UNIT + ", q AS (SELECT *, 10 AS k FROM v WHERE vec_id % 50 = 0)" + _NEAR + " SELECT vec_id, rank, other AS other_vec_id, round(cosine, 4) AS cosine FROM near WHERE rank <= k",
     "p3_found": """SELECT DISTINCT 'summarize_requests.passage' AS field, request_id AS item_id FROM summarize_requests WHERE length(passage) > max_chars AND max_chars >= 1
         UNION SELECT DISTINCT 'text_cleaner.chunk', chunk_id FROM text_cleaner WHERE length(text) > max_chars AND max_chars >= 1""",
     "p7_decoded": "SELECT doc_id, TRUE AS same FROM documents",
