@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import chunks, lookalikes, neighbours, packing, spans, tokens
+from lexiloom.llm import chunks, lookalikes, names, neighbours, packing, scans, spans, tokens
 from lexiloom.session import checkpointed, read_table
 
 #: Tokens of a container in the packing queries.
@@ -24,6 +24,18 @@ def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.canonical(read_table(spark, sf_dir, "quote_selectors"), "quote_id", "exact").drop("raw")
 
 
+def p2_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, mentions = read_table(spark, sf_dir, "entities"), read_table(spark, sf_dir, "coreference")
+    named = entities.select(F.col("project_id").alias("scope"), F.col("body_value").alias("name"), F.coalesce("entity_type", F.lit("PER")).alias("kind"))
+    named = named.unionByName(mentions.select(F.col("project_id").alias("scope"), F.col("referent_id").alias("name"), F.lit(None).cast("string").alias("kind")))
+    linked = names.link_names(named, read_table(spark, sf_dir, "short_names"))
+    return linked.select(F.col("scope").alias("project_id"), "entity", "name")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.linked_pairs(p2_linked(spark, sf_dir).withColumnRenamed("project_id", "scope")).withColumnRenamed("scope", "project_id")
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [("summarize_requests", "request_id", "passage", "summarize_requests.passage"), ("text_cleaner", "chunk_id", "text", "text_cleaner.chunk")]
     cut = [chunks.split_oversized(read_table(spark, sf_dir, t), k, c, "max_chars", "overlap_chars").withColumnRenamed(k, "item_id").withColumn("field", F.lit(f)) for t, k, c, f in fields]
@@ -38,6 +50,22 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).select("field", "item_id", "piece_no", "n_pieces", "piece_start", "piece_end", "piece")
 
 
+def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    chunk, epub = read_table(spark, sf_dir, "text_cleaner"), read_table(spark, sf_dir, "epub_results")
+    pages = chunk.where("source_format = 'pdf'").select(F.lit("text_cleaner.text").alias("field"), F.col("chunk_id").alias("record_id"), "text")
+    pages = pages.unionByName(epub.select(F.lit("epub_results.text").alias("field"), F.col("epub_id").alias("record_id"), "text"))
+    return pages, chunk.select("text").unionByName(epub.select("text"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.find_faults(*_scans(spark, sf_dir)).select("field", "record_id", "line_no", "noise").distinct()
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, corpus = _scans(spark, sf_dir)
+    return scans.repair(pages.dropDuplicates(["field", "record_id"]), checkpointed(scans.find_faults(pages, corpus)))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.usable(read_table(spark, sf_dir, "vectors"), "vec_id", "vectors", "dimension", "model")
 
@@ -100,10 +128,10 @@ def p9_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeated_sentences(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-_QUERIES = [p1_found, p1_canonical, p3_found, p3_pieces, p6_found, p6_neighbours, p6_recall, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_shared, p9_without_repeats]
+_QUERIES = [p1_found, p1_canonical, p2_found, p2_linked, p3_found, p3_pieces, p5_found, p5_repaired, p6_found, p6_neighbours, p6_recall, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_shared, p9_without_repeats]
 _UNIT = """WITH v AS (SELECT DISTINCT vec_id, coalesce(model, '') || ':' || len(vectors) AS model, CAST(vectors AS DOUBLE[]) AS v FROM vectors
         WHERE vec_id IS NOT NULL AND len(vectors) = dimension AND len(vectors) > 0
-        AND len(list_filter(vectors, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vectors, x -> x <> 0)) > 0)"""
+        AND len(list_filter(vectors, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vectors, lambda x: x <> 0)) > 0)"""
 _NEAR = """, near AS (SELECT q.vec_id, n.vec_id AS other, q.k, list_cosine_similarity(q.v, n.v) AS cosine,
         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, n.v) DESC, n.vec_id) AS rank
         FROM q JOIN v n ON q.model = n.model AND q.vec_id <> n.vec_id)"""
