@@ -48,7 +48,7 @@ def ratio(a: str, b: str) -> float:
 
 
 def alike(a: str, b: str) -> bool:
-    return a == b or min(len(a), len(b)) >= 4 and ratio(a, b) >= ALIKE
+    return a == b or min(len(a), len(b)) >= 3 and ratio(a, b) >= ALIKE
 
 
 @dataclass
@@ -102,7 +102,8 @@ def _same_word(a: str, b: str) -> bool:
     """Equal but for typing errors, or one cut short."""
     if _cut(a) or _cut(b):
         x, y = sorted((a.rstrip("."), b.rstrip(".")), key=len)
-        return y.startswith(x)
+        rest = iter(y)
+        return y.startswith(x) or x[:1] == y[:1] and len(x) > 2 and len(y) > 4 and all(c in rest for c in x)
     return alike(a, b)
 
 
@@ -135,7 +136,10 @@ def _short_form(a: Name, b: Name) -> bool:
     """Whether one given name looks like an unlisted short form of the other."""
     for x, y in ((a, b), (b, a)):
         s, f = x.given[0], y.given[0]
-        if len(x.given) == 1 and not x.independent and not x.nick and 2 <= len(s) <= 5 and not _cut(s) and not _cut(f) and len(f) > len(s) and s[:2] == f[:2]:
+        if len(x.given) > 1 or x.independent or x.nick or not 3 <= len(s) <= 6 or _cut(s) or _cut(f) or len(f) <= len(s):
+            continue
+        rest = iter(f)
+        if s[:2] == f[:2] or s[0] == f[0] and s.endswith(("y", "ie")) or len(s) >= 4 and all(c in rest for c in s):
             return True
     return False
 
@@ -156,13 +160,14 @@ def _strength(name: Name) -> tuple:
         return (-len(name.words) if len(name.words) > 1 else 0, sum(_cut(w) for w in name.words), -name.n, name.text)
     weak = not name.given or _cut(name.given[0]) or bool(name.nick)
     cut = sum(_cut(w) for w in name.given)
-    return (weak, not name.given, -(len(name.given) - cut), cut, -name.n, name.text)
+    maybe = bool(name.given) and len(name.given[0]) <= 6 and not name.independent
+    return (weak, not name.given, maybe, -(len(name.given) - cut), cut, -name.n, name.text)
 
 
 def _weak(name: Name) -> bool:
     if name.org:
         return len(name.words) < 3 or any(_cut(w) for w in name.words)
-    return not name.given or any(_cut(w) for w in name.given) or bool(name.nick) or len(name.given[0]) <= 5 and not name.independent
+    return not name.given or any(_cut(w) for w in name.given) or bool(name.nick) or len(name.given[0]) <= 6 and not name.independent
 
 
 def resolve(names: list[Name]) -> list[list[Name]]:
@@ -218,7 +223,8 @@ def link_names(mentions: DataFrame, short_names: DataFrame) -> DataFrame:
     repeated rows count as frequency.
 
     Method: suffix blocking. The suffix of ``SUFFIX`` letters of each token, with the scope, is a block key;
-    a block of over ``BLOCK`` names is refined by the name's other fields (initials of its words, then its
+    so are its initials,
+    for words misspelt at their ends; a block of over ``BLOCK`` names is refined by the name's other fields (initials of its words, then its
     whole token) and never dropped: names that still share a key are linked to the block's first. Pairs of a
     block are compared by longest-common-subsequence ratio and by initials, short forms and acronyms. What
     hangs together is resolved as one small group, where a short form counts only if one name alone fits it.
@@ -242,6 +248,8 @@ def link_names(mentions: DataFrame, short_names: DataFrame) -> DataFrame:
                 if org:
                     whole = "".join(w[0] for w in tokens) if len(tokens) > 1 else tokens[0] if tokens else ""
                     keys.add(("=" + whole, whole))
+                elif p.given and p.last:  # typing errors at the ends of all words leave the initials alone
+                    keys.add(("#" + p.given[0][0] + p.last[0], p.last))
                 rows += [(scope, name, n, org, full, key, key + "/" + other, key + "/" + other + "/" + token) for key, token in keys or {("", initials)}]
             yield pd.DataFrame(rows, columns=["scope", "name", "n", "org", "full", "key", "finer", "finest"])
 
