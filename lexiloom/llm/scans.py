@@ -8,8 +8,10 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.session import checkpointed
@@ -24,7 +26,7 @@ _ODD = re.compile(r"[015689@$ſ]")
 #: The chance that a character that can be misread is.
 _ERROR = 0.003
 _HYPHENS = "-¬\xad‐"
-_WORD = r"[\p{L}\p{N}\p{M}@$]+(?:-[\p{L}\p{N}\p{M}@$]+)*"
+_BREAK = re.compile(r"(?<=[^\W\d_])[-¬\xad‐][ ]*\n[ ]*(?=[^\W\d_])")
 _PY_WORD = re.compile(r"[\w@$]+(?:-[\w@$]+)*")
 _ROMAN = re.compile(r"(?=[ivxlcdm])(?:m{0,3})(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 _NUMBER = re.compile(r"\s*(?:(page\s+)|([-–—\[(]+)\s*)?(\d{1,4}|[\dlO]*\d[\dlO]*|[ivxlcdm]+)(?:\s*([-–—\])]+)|(\.))?\s*$", re.I)
@@ -44,12 +46,17 @@ class Page:
 
 
 def _header_core(line: str) -> tuple[str, bool]:
-    core = _HEADER_NUMBER.sub("", line.strip())
-    return core, core != line.strip()
+    line = line.strip()
+    if not line[0].isdigit() and not line[-1].isdigit():
+        return line, False
+    core = _HEADER_NUMBER.sub("", line)
+    return core, core != line
 
 
 def _titled(core: str) -> bool:
     words = core.split()
+    if len(words) > 1 and words[1][0].islower() and words[1][0] not in "lſ" and words[1] not in ("of", "the", "and", "in"):
+        return False
     letters = [c for c in core if c.isalpha()]
     if not letters or not 3 <= len(core) <= 60 or core[-1] in ".!?,;:\"'-¬\xad‐”»" or re.search(r"[.!?,;:\"]\s", core):
         return False
@@ -68,7 +75,7 @@ def read_page(lines: list[str]) -> Page:
     filled = [i for i, line in enumerate(lines) if line.strip()]
     numbers, dotted, sure = set(), {}, []
     for i in filled:
-        m = _NUMBER.fullmatch(lines[i])
+        m = _NUMBER.fullmatch(lines[i]) if len(lines[i].strip()) <= 16 else None
         value = m.group(3).replace("l", "1").replace("O", "0") if m and re.search(r"\d", m.group(3)) else m and m.group(3)
         if not m or len(value) > 4 and value.isdigit() or not value.isdigit() and (value.isupper() or not _ROMAN.match(value)):
             continue
@@ -105,44 +112,58 @@ def read_page(lines: list[str]) -> Page:
     return Page(sorted(headers), sorted(numbers), [i for i in range(len(lines)) if i not in gone])
 
 
-def printed_for(word: str, deep: bool) -> dict[str, int]:
-    """Words that may have been printed where ``word`` was read, with the number of misread characters."""
-    out: dict[str, int] = {}
-    front = {word: (0, 0)}  # word so far -> errors, place to go on at
-    for errors in (1, 2) if deep else (1,):
-        grown: dict[str, tuple[int, int]] = {}
-        for w, (_, at) in front.items():
-            for i in range(at, len(w)):
-                for size in (1, 2):
-                    for true in _READ_FOR.get(w[i : i + size], ()) if i + size <= len(w) else ():
-                        v = w[:i] + true + w[i + size :]
-                        if v != word and v not in out and v not in grown:
-                            grown[v] = (errors, i + len(true))
-        out.update({v: e for v, (e, _) in grown.items()})
-        front = grown
-    return out
+def printed_for(word: str) -> dict[str, int]:
+    """Words of letters that an odd one may have been printed as, with the number of misread characters.
+
+    Every odd character was misread; words with more than three are given up.
+    """
+    places = [i for i, c in enumerate(word) if _ODD.match(c)]
+    if not 1 <= len(places) <= 3:
+        return {}
+    out = [list(word)]
+    for i in places:
+        out = [[*w[:i], true, *w[i + 1 :]] for w in out for true in _READ_FOR.get(word[i], ())]
+    return {"".join(w): len(places) for w in out}
 
 
 def _is_odd(word: str) -> bool:
     return bool(_ODD.search(word)) and sum(c.isalpha() for c in word) >= 2 and not re.fullmatch(r"\d+\w{0,2}", word)
 
 
-def unbroken(text: Column) -> Column:
-    """A text with words joined that a hyphen breaks at a line's end."""
-    return F.regexp_replace(text, r"(?<=\p{L})[-¬­‐][ ]*\n[ ]*(?=\p{L})", "")
-
-
-def vocabulary(corpus: DataFrame) -> DataFrame:
-    """(word, n) over all texts of ``corpus`` (text)."""
-    words = F.regexp_extract_all(unbroken(F.col("text")), F.lit(_WORD), F.lit(0))
-    return corpus.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def word_counts(corpus: DataFrame, flush: int = 1_000_000) -> DataFrame:
+    """(word, pair, n) over all texts of ``corpus`` (text): words with a null pair, and hashes of two words in sequence.
 
+    Words broken at a line's end are joined first. Counts are made per batch before rows are.
+    """
 
-def bigrams(corpus: DataFrame) -> DataFrame:
-    """(pair, n) over all texts, pair being a hash of two words in sequence."""
-    words = F.regexp_extract_all(unbroken(F.col("text")), F.lit(_WORD), F.lit(0))
-    pairs = corpus.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1)))).alias("pair"))
-    return pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            words: list[str | None] = []
+            for text in frame["text"]:
+                words += _PY_WORD.findall(_BREAK.sub("", text))
+                words.append(None)  # no pair over a text's end
+                if len(words) >= flush:
+                    yield _counted(words)
+                    words = []
+            if words:
+                yield _counted(words)
+
+    rows = corpus.where(F.length("text") > 0).select("text").mapInPandas(count, "a string, b string, n long")
+    pair = F.when(F.col("b").isNotNull(), F.xxhash64("a", "b"))
+    word = F.when(F.col("b").isNull(), F.col("a"))
+    return rows.select(word.alias("word"), pair.alias("pair"), "n").groupBy("word", "pair").agg(F.sum("n").alias("n"))
+
+
+def _counted(words: list[str | None]) -> pd.DataFrame:
+    coded = pa.array(words, pa.string()).dictionary_encode()
+    names = np.append(coded.dictionary.to_numpy(zero_copy_only=False), None)
+    codes = coded.indices.fill_null(len(names) - 1).to_numpy().astype(np.int64)
+    single = np.bincount(codes, minlength=len(names))[:-1]
+    inside = (codes[:-1] < len(names) - 1) & (codes[1:] < len(names) - 1)
+    pairs, n = np.unique(codes[:-1][inside] * len(names) + codes[1:][inside], return_counts=True)
+    first = np.concatenate([np.arange(len(names) - 1), pairs // len(names)])
+    second = np.concatenate([np.full(len(names) - 1, len(names) - 1), pairs % len(names)])
+    return pd.DataFrame({"a": names[first], "b": names[second], "n": np.concatenate([single, n])})
 
 
 def suspects(vocab: DataFrame, ratio: float = 3.0) -> DataFrame:
@@ -150,17 +171,20 @@ def suspects(vocab: DataFrame, ratio: float = 3.0) -> DataFrame:
 
     def vary(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for word, n in zip(frame["word"], frame["n"], strict=True):
-                if len(word) < 3 or not any(c.isalpha() for c in word):
-                    continue
-                odd = _is_odd(word)
-                for v, errors in printed_for(word, odd or n <= 2).items():
-                    if all(c.isalpha() or c == "-" for c in v):
-                        rows.append((word, n, v, errors, odd))
+            rows = [(w, n, v, e, True) for w, n in zip(frame["word"], frame["n"], strict=True) if _is_odd(w) for v, e in printed_for(w).items()]
             yield pd.DataFrame(rows, columns=["word", "n", "printed", "errors", "odd"])
 
-    varied = vocab.mapInPandas(vary, "word string, n long, printed string, errors int, odd boolean")
+    # Words of letters: one confusion undone at each place where it can have been made.
+    rules = F.array(*(F.struct(F.lit(read).alias("read"), F.lit(true).alias("true")) for read, trues in _READ_FOR.items() for true in trues if read.isalpha() and true.isalpha()))
+    letters = vocab.where(F.length("word") >= 3).where(F.col("word").rlike(r"^[\p{L}\p{M}-]+$") & ~F.col("word").contains("ſ"))
+    tried = letters.select("word", "n", F.explode(rules).alias("r")).where(F.col("word").contains(F.col("r.read")))
+    parts = F.split("word", F.col("r.read"))
+    tried = tried.select("word", "n", "r", parts.alias("p")).select("word", "n", "r", "p", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k"))
+    rejoin = lambda x: F.call_function("array_join", x, F.col("r.read"))
+    printed = F.concat(rejoin(F.slice("p", F.lit(1), F.col("k"))), F.col("r.true"), rejoin(F.slice("p", F.col("k") + 1, F.size("p"))))
+    varied = tried.select("word", "n", printed.alias("printed"), F.lit(1).alias("errors"), F.lit(False).alias("odd"))
+    odd = vocab.where(F.col("word").rlike(r"[015689@$ſ]")).mapInPandas(vary, "word string, n long, printed string, errors int, odd boolean")
+    varied = varied.unionByName(odd.where(F.col("printed").rlike(r"^[\p{L}\p{M}-]+$"))).distinct()
     known = vocab.select(F.col("word").alias("printed"), F.col("n").alias("m"))
     joined = varied.join(known, "printed", "left")
     likely = joined.where((F.col("m") >= F.col("n") * ratio) & (F.col("m") >= 2) | F.col("odd"))
@@ -210,7 +234,8 @@ def find_faults(pages: DataFrame, corpus: DataFrame, head_words: int = HEAD_WORD
     suspicious ones take part in joins; no result depends on that number.
     """
     spark = pages.sparkSession
-    vocab = checkpointed(vocabulary(corpus))
+    counted = checkpointed(word_counts(corpus))
+    vocab = counted.where("word IS NOT NULL").select("word", "n")
     doubtful = checkpointed(suspects(vocab))
     head = vocab.orderBy(F.desc("n"), "word").limit(head_words).join(doubtful.select("word"), "word", "left_anti")
     clean = spark.sparkContext.broadcast(frozenset(head.select("word").toArrow().column(0).to_pylist()))
@@ -244,7 +269,7 @@ def find_faults(pages: DataFrame, corpus: DataFrame, head_words: int = HEAD_WORD
 
     # Each line with the counts of its own pairs.
     edges = lines.mapInPandas(_line_pairs, "field string, record_id long, line_no long, a string, b string").withColumn("pair", F.xxhash64("a", "b"))
-    counts = edges.join(bigrams(corpus), "pair").groupBy(*where).agg(F.collect_list(F.struct("a", "b", "n")).alias("pairs"))
+    counts = edges.join(counted.where("pair IS NOT NULL").select("pair", "n"), "pair").groupBy(*where).agg(F.collect_list(F.struct("a", "b", "n")).alias("pairs"))
 
     def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
