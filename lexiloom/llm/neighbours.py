@@ -115,7 +115,7 @@ def codebooks(index: DataFrame, sample: int, threshold: float) -> dict[str, np.n
     return {r["model"]: np.frombuffer(r["books"], np.float32).reshape(r["blocks"], _CODES, BLOCK) for r in rows}
 
 
-def most_similar(index: DataFrame, asked: DataFrame, sample: int = SAMPLE, threshold: float = 0.3, rerank: int = 4, rerank_least: int = 60, rows_per_block: int = 32_768, queries_per_block: int = 2_048) -> DataFrame:
+def most_similar(index: DataFrame, asked: DataFrame, sample: int = SAMPLE, threshold: float = 0.3, rerank: int = 6, rerank_least: int = 200, rows_per_block: int = 32_768, queries_per_block: int = 2_048) -> DataFrame:
     """(id, rank, other, cosine): the k most similar other vectors of each vector asked for, within its model.
 
     ``index`` is as ``usable`` gives it; ``asked`` has (id, k). Ids without a usable vector and k under 1 or
