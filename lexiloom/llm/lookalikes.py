@@ -51,7 +51,11 @@ def mapping() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     to = {}
     blanks = {c for c in map(chr, range(0x110000)) if c.isspace() or unicodedata.category(c) == "Zs"} | {"⠀"}
     for code in range(0x110000):
-        if 0xD800 <= code < 0xE000 or code in _HANGUL:
+        if 0xD800 <= code < 0xE000:
+            continue
+        if code in _HANGUL:  # syllables stay taken apart
+            at = code - _HANGUL.start
+            to[code] = [0x1100 + at // 588, 0x1161 + at % 588 // 28] + ([0x11A7 + at % 28] if at % 28 else [])
             continue
         ch = chr(code)
         category = unicodedata.category(ch)
@@ -186,7 +190,8 @@ def canonical(texts: DataFrame, key: str, text: str) -> DataFrame:
     Method: texts are exploded to positioned code points; a table of fixed size, sent to every task, gives
     each one's decomposition (full, half and no-break widths, ligatures, composed letters), the Latin letter
     it is drawn as, and that invisible characters vanish and blanks of any kind and width are one (line breaks and
-    blank lines stay); combining marks are ordered by class, recomposed with their letters, and strings are rebuilt. The rows of this
+    blank lines stay); combining marks are ordered by class, recomposed with their letters (Hangul syllables stay taken apart), and
+    strings are rebuilt. The rows of this
     join never leave their task: they are columns of numpy arrays per Arrow batch, for as Spark rows they
     would be shuffled at many times the text's size.
 

@@ -146,9 +146,9 @@ def decode(encoded: DataFrame, key: str, ids: str = "ids", vocabulary_path: str
     Keys must be unique; an empty list gives ''. A null list gives a null text.
     """
     pieces = F.broadcast(id_pieces(encoded.sparkSession, vocabulary_path))
-    each = encoded.select(F.col(key), F.posexplode(ids).alias("pos", "id")).join(pieces, "id")
-    joined = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("hex")))).alias("p"))
+    rows = encoded.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{ids}`").alias("__ids"))
+    each = rows.select("__key", F.posexplode("__ids").alias("pos", "id")).join(pieces, "id")
+    joined = each.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("hex")))).alias("p"))
     text = F.decode(F.unhex(F.array_join(F.transform("p", lambda p: p["hex"]), "")), "UTF-8")
-    texts = joined.select(F.col(key).alias("__key"), text.alias("text"))
-    back = encoded.select(key, ids).join(texts, F.col(key) == F.col("__key"), "left")
-    return back.select(key, F.when(F.col(ids).isNotNull(), F.coalesce("text", F.lit(""))).alias("text"))
+    back = rows.join(joined.select("__key", text.alias("text")), "__key", "left")
+    return back.select(F.col("__key").alias(key), F.when(F.col("__ids").isNotNull(), F.coalesce("text", F.lit(""))).alias("text"))
