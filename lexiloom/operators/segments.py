@@ -35,7 +35,7 @@ def literal_hits(docs: DataFrame, needle: str) -> DataFrame:
     starts = F.aggregate(
         parts,
         F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p)).cast("bigint").alias("at"), F.when(F.startswith(p, F.lit(needle)), F.array_append(acc["out"], acc["at"])).otherwise(acc["out"]).alias("out")),
+        lambda acc, p: F.struct((acc["at"] + F.length(p)).cast("bigint").alias("at"), F.when((acc["at"] > 0) | F.startswith(p, F.lit(needle)), F.array_append(acc["out"], acc["at"])).otherwise(acc["out"]).alias("out")),
         lambda acc: acc["out"],
     )
     return docs.select("doc_id", F.explode(starts).alias("start"))

@@ -8,9 +8,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-ANNOTATION = T.StructType.fromDDL("id string, body struct<type:string,value:string>, target struct<source:string,selector:struct<type:string,start:bigint,end:bigint>>, confidence double, evidenceLevel string, creator string")
+ANNOTATION = "id string, body struct<type:string,value:string>, target struct<source:string,selector:struct<type:string,start:bigint,end:bigint>>, confidence double, evidenceLevel string, creator string"
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
