@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.session import checkpointed
@@ -112,18 +112,11 @@ def read_page(lines: list[str]) -> Page:
     return Page(sorted(headers), sorted(numbers), [i for i in range(len(lines)) if i not in gone])
 
 
-def printed_for(word: str) -> dict[str, int]:
-    """Words of letters that an odd one may have been printed as, with the number of misread characters.
-
-    Every odd character was misread; words with more than three are given up.
-    """
-    places = [i for i, c in enumerate(word) if _ODD.match(c)]
-    if not 1 <= len(places) <= 3:
-        return {}
-    out = [list(word)]
-    for i in places:
-        out = [[*w[:i], true, *w[i + 1 :]] for w in out for true in _READ_FOR.get(word[i], ())]
-    return {"".join(w): len(places) for w in out}
+def printed_for(word: str) -> str | None:
+    """A word of letters that an odd one may have been printed as, every odd character being misread."""
+    capital = sum(c.isupper() for c in word) > sum(c.islower() for c in word)
+    trues = [_READ_FOR[c] if _ODD.match(c) else [c] for c in word]
+    return "".join(next((t for t in ts if t.isupper() == capital), ts[0]) for ts in trues)
 
 
 def _is_odd(word: str) -> bool:
@@ -166,30 +159,77 @@ def _counted(words: list[str | None]) -> pd.DataFrame:
     return pd.DataFrame({"a": names[first], "b": names[second], "n": np.concatenate([single, n])})
 
 
+def _exchanged(words: DataFrame, source: str, old: str, new: str) -> DataFrame:
+    """``words`` with ``changed``, ``source`` with one confusion of letters made (true to read) or undone (read to true).
+
+    ``at`` and ``size`` are the place of the new letters.
+    """
+    rules = [(read, true) for read, trues in _READ_FOR.items() for true in trues if read.isalpha() and true.isalpha() and read != "ſ"]
+    rules = rules if (old, new) == ("read", "true") else [(true, read) for read, true in rules]
+    of: dict[int, dict[str, list[str]]] = {1: {}, 2: {}}
+    for before, after in rules:
+        of[len(before)].setdefault(before, []).append(after)
+    struct = lambda size, after: F.struct(F.lit(size).alias("old_size"), F.lit(after).alias("new"))
+    none = F.array().cast("array<struct<old_size: int, new: string>>")
+    word, found = F.col(source), []
+    for size, table in of.items():
+        tried = F.create_map(*(c for before, afters in table.items() for c in (F.lit(before), F.array(*(struct(size, after) for after in afters)))))
+        found.append(F.coalesce(F.try_element_at(tried, F.substr(word, F.col("at"), F.lit(size))), none))
+    places = words.select("*", F.explode(F.sequence(F.lit(1), F.length(word))).alias("at"))
+    places = places.select("*", F.explode(F.concat(*found)).alias("r"))
+    changed = F.concat(F.substr(word, F.lit(1), F.col("at") - 1), F.col("r.new"), F.substr(word, F.col("at") + F.col("r.old_size")))
+    return places.select(*words.columns, changed.alias("changed"), "at", F.length("r.new").alias("size"))
+
+
+def _skeleton(word: Column) -> Column:
+    """``word`` with one character for an odd one and all letters it is read for."""
+    return F.translate(word, "oOilsS$bBgaſ", "0011555689@f")
+
+
+def _read_as(printed: Column, read: Column) -> Column:
+    """Whether ``printed``, of the same skeleton as ``read``, differs from it in nothing but the odd characters."""
+    pairs = F.array(*(F.lit(c + true) for c, trues in _READ_FOR.items() if _ODD.match(c) for true in trues))
+    letter = lambda word, i: F.substr(word, i, F.lit(1))
+    return F.forall(F.sequence(F.lit(1), F.length(read)), lambda i: (letter(read, i) == letter(printed, i)) | F.array_contains(pairs, F.concat(letter(read, i), letter(printed, i))))
+
+
 def suspects(vocab: DataFrame, ratio: float = 3.0) -> DataFrame:
-    """(word, n, readings): words for which likelier printed words exist, with these."""
+    """(word, n, readings): words for which likelier printed words exist, with these.
 
-    def vary(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Up to two confusions of letters are undone, at any places of a word, and in odd words all odd characters
+    besides. In words of letters two confusions are found by the form between them: one undone in the word
+    read, the other made in the word printed.
+    """
+    def single_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(w, n, v, e, True) for w, n in zip(frame["word"], frame["n"], strict=True) if _is_odd(w) for v, e in printed_for(w).items()]
-            yield pd.DataFrame(rows, columns=["word", "n", "printed", "errors", "odd"])
-
-    # Words of letters: one confusion undone at each place where it can have been made.
-    rules = F.array(*(F.struct(F.lit(read).alias("read"), F.lit(true).alias("true")) for read, trues in _READ_FOR.items() for true in trues if read.isalpha() and true.isalpha()))
-    letters = vocab.where(F.length("word") >= 3).where(F.col("word").rlike(r"^[\p{L}\p{M}-]+$") & ~F.col("word").contains("ſ"))
-    tried = letters.select("word", "n", F.explode(rules).alias("r")).where(F.col("word").contains(F.col("r.read")))
-    parts = F.split("word", F.col("r.read"))
-    tried = tried.select("word", "n", "r", parts.alias("p")).select("word", "n", "r", "p", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k"))
-    rejoin = lambda x: F.call_function("array_join", x, F.col("r.read"))
-    printed = F.concat(rejoin(F.slice("p", F.lit(1), F.col("k"))), F.col("r.true"), rejoin(F.slice("p", F.col("k") + 1, F.size("p"))))
-    varied = tried.select("word", "n", printed.alias("printed"), F.lit(1).alias("errors"), F.lit(False).alias("odd"))
-    odd = vocab.where(F.col("word").rlike(r"[015689@$ſ]")).mapInPandas(vary, "word string, n long, printed string, errors int, odd boolean")
-    varied = varied.unionByName(odd.where(F.col("printed").rlike(r"^[\p{L}\p{M}-]+$"))).distinct()
-    known = vocab.select(F.col("word").alias("printed"), F.col("n").alias("m"))
-    joined = varied.join(known, "printed", "left")
-    likely = joined.where((F.col("m") >= F.col("n") * ratio) & (F.col("m") >= 2) | F.col("odd"))
-    reading = F.struct("printed", "errors", F.coalesce("m", F.lit(0)).alias("m"))
-    return likely.groupBy("word").agg(F.any_value("n").alias("n"), F.slice(F.array_sort(F.collect_list(reading), lambda a, b: (b["m"] - a["m"]).cast("int")), 1, 8).alias("readings"))
+            rows = [(w, n, len(_ODD.findall(w)), printed_for(w)) for w, n in zip(frame["word"], frame["n"], strict=True) if _is_odd(w)]
+            yield pd.DataFrame(rows, columns=["word", "n", "places", "unknown"])
+
+    lettered = F.col("word").rlike(r"^[\p{L}\p{M}-]+$") & ~F.col("word").contains("ſ")
+    known = vocab.where(lettered).select(F.col("word").alias("printed"), F.col("n").alias("m"))
+    undone = _exchanged(vocab.where(F.length("word") >= 3).where(lettered), "word", "read", "true")
+    able = known.where(F.col("m") >= max(ratio, 2))  # n is at least 1
+    made = _exchanged(able, "printed", "true", "read").select("changed", "printed", "m", F.lit(2).alias("errors"), F.col("at").alias("at_2"), F.col("size").alias("size_2"))
+    whole = able.select(F.col("printed").alias("changed"), "printed", "m", F.lit(1).alias("errors"), F.lit(0).alias("at_2"), F.lit(0).alias("size_2"))
+    apart = (F.col("at") + F.col("size") <= F.col("at_2")) | (F.col("at_2") + F.col("size_2") <= F.col("at"))
+    likely = undone.join(made.unionByName(whole), "changed").where((F.col("m") >= F.col("n") * ratio) & apart & (F.col("word") != F.col("printed"))).select("word", "n", "printed", "errors", "m")
+
+    # Odd words the same, but forms of one skeleton meet; only words of letters and odd characters can have been words of letters.
+    odd = vocab.where(F.col("word").rlike(r"[015689@$ſ]") & F.col("word").rlike(r"^[\p{L}\p{M}015689@$-]+$"))
+    odd = checkpointed(odd.mapInPandas(single_out, "word string, n long, places int, unknown string"))
+    forms = odd.select("word", "n", "places", F.col("word").alias("form"), F.lit(0).alias("undone"), F.lit(0).alias("at"), F.lit(0).alias("size"))
+    forms = forms.unionByName(_exchanged(odd.select("word", "n", "places"), "word", "read", "true").withColumnRenamed("changed", "form").withColumn("undone", F.lit(1)))
+    met = known.select("printed", "m", F.col("printed").alias("between"), F.lit(0).alias("made"), F.lit(0).alias("at_2"), F.lit(0).alias("size_2"))
+    met = met.unionByName(_exchanged(known, "printed", "true", "read").withColumnsRenamed({"changed": "between", "at": "at_2", "size": "size_2"}).withColumn("made", F.lit(1)))
+    met = forms.withColumn("skeleton", _skeleton(F.col("form"))).join(met.withColumn("skeleton", _skeleton(F.col("between"))), "skeleton").where("made <= undone").where(apart)
+    met = met.where("substr(form, at_2, size_2) = substr(between, at_2, size_2)").where(_read_as(F.col("between"), F.col("form")))
+    mended = met.select("word", "n", "printed", F.expr("places + undone + made").alias("errors"), "m")
+    # An unknown word stands for up to three odd characters; strings with more are codes, unless a known word is like them.
+    unknown = odd.where("places <= 3").select("word", "n", F.col("unknown").alias("printed"), F.col("places").alias("errors"), F.lit(0).cast("long").alias("m"))
+
+    likely = likely.unionByName(mended).unionByName(unknown).groupBy("word", "printed").agg(F.any_value("n").alias("n"), F.min("errors").alias("errors"), F.max("m").alias("m"))
+    readings = F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("rank"), "errors", "printed", "m")))
+    return likely.groupBy("word").agg(F.any_value("n").alias("n"), F.transform(readings, lambda r: F.struct(r["printed"].alias("printed"), r["errors"].alias("errors"), r["m"].alias("m"))).alias("readings"))
 
 
 def decode(words: list[str], readings: dict[str, list[tuple[str, int, int]]], counts: dict[str, int], pairs: dict[tuple[str, str], int], total: int) -> list[str]:

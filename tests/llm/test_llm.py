@@ -89,6 +89,13 @@ def test_faults(spark):
     assert fixed == {1: "The weaver whispered of every kettle near the moon-lit bridge.", 2: None, 3: ""}
 
 
+def test_two_confusions(spark):
+    rows = [("possessions", 9), ("p055e55i0ns", 1), ("modern", 30), ("rnodem", 3), ("chosen", 30), ("cb0sen", 1), ("tbe", 20), ("the", 90), ("zz0101015", 1)]
+    found = scans.suspects(spark.createDataFrame(rows, "word string, n long"))
+    found = {r["word"]: {(x["printed"], x["errors"]) for x in r["readings"]} for r in found.collect()}
+    assert found == {"p055e55i0ns": {("possessions", 6)}, "rnodem": {("modern", 2)}, "cb0sen": {("cbosen", 1), ("chosen", 2)}, "tbe": {("the", 1)}}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     rows = [(i, "m", [float(x) for x in rng.normal(size=8)], 8) for i in range(300)]
