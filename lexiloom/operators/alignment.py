@@ -3,59 +3,96 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 GAP_OPEN, GAP_EXTEND = -2.0, -0.5
+#: Alignments of a pair, at most.
+MOST = 100
 
 
 def local_alignment(similarity: np.ndarray, least: int = 3) -> tuple[float, int, int, int, int] | None:
-    """(score, query start, query end, target start, target end) of the best local alignment of two sequences.
+    """The first of ``local_alignments`` by a matrix of similarities, or None."""
+    found = local_alignments(*similarity.shape, lambda i, j: similarity[i, j], least, 1)
+    return found[0] if found else None
 
-    A cell scores 2 * similarity - 1; gaps are affine. Three states per cell; each anti-diagonal is one
-    vector step, and the start of the best path to a cell travels with its score. None if no path has a
-    positive score and at least ``least`` rows and columns.
+
+def local_alignments(n: int, m: int, similarity: Callable[[np.ndarray, np.ndarray], np.ndarray], least: int = 3, most: int = MOST) -> list[tuple[float, int, int, int, int]]:
+    """(score, query start, query end, target start, target end) of the ``most`` best local alignments of two sequences.
+
+    A cell scores 2 * similarity - 1; gaps are affine. Three states per cell; each anti-diagonal is one vector
+    step, of which only the last two are kept, and the start of the best path to a cell travels with its score.
+    Every cell has one path, so paths of different starts share no cell: the best end of each start is an
+    alignment. What has no positive score, or under ``least`` rows or columns, is none.
     """
-    n, m = similarity.shape
-    score = 2.0 * similarity - 1.0
     low = -1e18
-    shape = (n + 1, m + 1)
-    best, gap_row, gap_col = np.zeros(shape), np.full(shape, low), np.full(shape, low)
-    start = np.arange((n + 1) * (m + 1)).reshape(shape)
-    start_row, start_col = start.copy(), start.copy()
+    rows = np.arange(n + 1)
+    best, before = np.zeros(n + 1), np.zeros(n + 1)
+    start, start_before = rows * m + 1, rows * m
+    gap_row, gap_col = np.full(n + 1, low), np.full(n + 1, low)
+    start_row, start_col = start, start
+    kept, waiting = [], 0
     for d in range(2, n + m + 1):
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        j = d - i
-        for state, origin, a, b in ((gap_row, start_row, i - 1, j), (gap_col, start_col, i, j - 1)):
-            opened, extended = best[a, b] + GAP_OPEN, state[a, b] + GAP_EXTEND
-            state[i, j] = np.maximum(opened, extended)
-            origin[i, j] = np.where(opened >= extended, start[a, b], origin[a, b])
-        through = best[i - 1, j - 1] + score[i - 1, j - 1]
-        options = np.stack([np.zeros(len(i)), through, gap_row[i, j], gap_col[i, j]])
-        choice = options.argmax(0)
-        best[i, j] = options.max(0)
-        start[i, j] = np.choose(choice, [start[i, j], start[i - 1, j - 1], start_row[i, j], start_col[i, j]])
-    i, j = np.unravel_index(best.argmax(), shape)
-    a, b = divmod(int(start[i, j]), m + 1)
-    if best[i, j] <= 0 or i - a < least or j - b < least:
-        return None
-    return float(best[i, j]), a, int(i), b, int(j)
+        here = slice(max(1, d - m), min(n, d - 1) + 1)
+        up = slice(here.start - 1, here.stop - 1)
+        i = rows[here]
+        states = []
+        for state, origin, at in ((gap_row, start_row, up), (gap_col, start_col, here)):
+            opened, extended = best[at] + GAP_OPEN, state[at] + GAP_EXTEND
+            fresh, came = np.full(n + 1, low), rows * m + d
+            fresh[here] = np.maximum(opened, extended)
+            came[here] = np.where(opened >= extended, start[at], origin[at])
+            states += [fresh, came]
+        gap_row, start_row, gap_col, start_col = states
+        score = 2.0 * similarity(i - 1, d - i - 1) - 1.0
+        through = before[up] + score
+        now, start_now = np.zeros(n + 1), rows * m + d
+        top, came = now[here], start_now[here]  # views
+        for value, origin in ((through, start_before[up]), (gap_row[here], start_row[here]), (gap_col[here], start_col[here])):
+            better = value > top
+            top[better], came[better] = value[better], origin[better]
+        ends = np.flatnonzero((score > 0) & (top == through))
+        if len(ends):
+            y, x = np.divmod(came[ends], m + 1)
+            ends = ends[(i[ends] - y >= least) & (d - i[ends] - x >= least)]
+            kept.append((came[ends], top[ends], i[ends] * (m + 1) + d - i[ends]))
+            waiting += len(ends)
+            if waiting > 1_000_000:
+                kept, waiting = [_best_ends(kept)], 0
+        before, best, start_before, start = best, now, start, start_now
+    if not kept:
+        return []
+    starts, scores, ends = _best_ends(kept)
+    order = np.lexsort((ends, -scores))[:most]
+    return [(float(scores[k]), int(starts[k] // (m + 1)), int(ends[k] // (m + 1)), int(starts[k] % (m + 1)), int(ends[k] % (m + 1))) for k in order]
+
+
+def _best_ends(parts: list[tuple]) -> tuple:
+    """(starts, scores, ends) with the best end of each start, the first of equal ones."""
+    starts, scores, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((ends, -scores, starts))
+    starts, scores, ends = starts[order], scores[order], ends[order]
+    first = np.concatenate([[True], starts[1:] != starts[:-1]])[: len(starts)]
+    return starts[first], scores[first], ends[first]
 
 
 def align_words(pairs: DataFrame) -> DataFrame:
-    """(id_a, id_b, score, a_start, a_end, b_start, b_end) of pairs (id_a, id_b, a, b) of word lists, word for word."""
+    """(id_a, id_b, score, a_start, a_end, b_start, b_end) of pairs (id_a, id_b, a, b) of word lists, word for word.
+
+    Lists are aligned whole; a pair has up to ``MOST`` alignments, none sharing a pair of words with another.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for p, q, a, b in frame[["id_a", "id_b", "a", "b"]].itertuples(index=False):
                 if a is not None and b is not None and len(a) and len(b):
-                    hit = local_alignment(np.equal.outer(np.asarray(a, object), np.asarray(b, object)).astype(float))
-                    if hit:
-                        out.append((p, q, *hit))
+                    codes: dict[str, int] = {}
+                    x, y = (np.array([codes.setdefault(w, len(codes)) for w in words]) for words in (a, b))
+                    out += [(p, q, *hit) for hit in local_alignments(len(x), len(y), lambda i, j, x=x, y=y: x[i] == y[j])]
             yield pd.DataFrame(out, columns=["id_a", "id_b", "score", "a_start", "a_end", "b_start", "b_end"])
 
     return pairs.mapInPandas(run, "id_a long, id_b long, score double, a_start long, a_end long, b_start long, b_end long")

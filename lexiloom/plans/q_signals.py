@@ -71,14 +71,11 @@ def uniform_alphabet(spark, d):
 
 
 def word_alignments(spark, d):
-    """Local word alignments of chunks with the chunk after them in the same source, a thousand words at a time."""
+    """Local word alignments of chunks with the chunk after them in the same source."""
     chunk = read_table(spark, d, "text_cleaner").where("length(text) > 0").dropDuplicates(["chunk_id"])
     after = F.lead(F.struct("chunk_id", "text")).over(W.partitionBy("source_path").orderBy("chunk_index", "chunk_id"))
     pairs = chunk.select(F.col("chunk_id").alias("id_a"), "text", after.alias("n")).where("n IS NOT NULL")
-    words = pairs.select("id_a", F.col("n.chunk_id").alias("id_b"), T.words(F.col("text")).alias("a"), T.words(F.col("n.text")).alias("b"))
-    steps = F.sequence(F.lit(0), F.floor((F.greatest(F.size("a"), F.size("b"), F.lit(1)) - 1) / 1000).cast("int"))
-    each = words.select("id_a", "id_b", "a", "b", F.explode(steps).alias("k"))
-    return alignment.align_words(each.select("id_a", "id_b", *(F.slice(c, F.col("k") * 1000 + 1, 1000).alias(c) for c in ("a", "b"))))
+    return alignment.align_words(pairs.select("id_a", F.col("n.chunk_id").alias("id_b"), T.words(F.col("text")).alias("a"), T.words(F.col("n.text")).alias("b")))
 
 
 def edition_changes(spark, d):

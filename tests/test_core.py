@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.operators import alignment, intervals, segments, vectors
-from lexiloom.plans import catalogue
+from lexiloom.plans import catalogue, q_signals
 from lexiloom.sources import files
 from lexiloom.streaming import events
 
@@ -50,6 +50,18 @@ def test_alignment():
     assert alignment.local_alignment(match) == (3.0, 2, 5, 2, 5)
 
 
+def test_word_alignments_are_whole(spark, tmp_path):
+    """A passage at the tail of one chunk and the head of the next, one over word 1,000, and both of them."""
+    words = lambda mark, n: [mark + "".join("abcdefghij"[int(c)] for c in str(i)) for i in range(n)]
+    a, b = words("k", 1500), words("m", 1200)
+    a[1400:1420] = b[10:30] = words("x", 20)
+    a[990:1010] = b[995:1015] = words("y", 20)
+    rows = [(1, "s", 0, " ".join(a)), (2, "s", 1, " ".join(b))]
+    spark.createDataFrame(rows, "chunk_id long, source_path string, chunk_index int, text string").write.parquet(str(tmp_path / "text_cleaner.parquet"))
+    found = {tuple(r) for r in q_signals.word_alignments(spark, str(tmp_path)).collect()}
+    assert found == {(1, 2, 20.0, 1400, 1420, 10, 30), (1, 2, 20.0, 990, 1010, 995, 1015)}
+
+
 def test_edition_changes(spark):
     pairs = spark.createDataFrame([("e", ["Hello", "World"], ["Hello", "Earth", "New"])], "id string, a array<string>, b array<string>")
     assert {r["change"]: r["n"] for r in alignment.edition_changes(pairs).collect()} == {"unchanged": 1, "replaced": 1, "inserted": 1, "deleted": 0}
