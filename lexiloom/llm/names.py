@@ -16,7 +16,7 @@ from lexiloom.session import checkpointed
 
 #: Shortest suffix of a token that is indexed.
 SUFFIX = 4
-#: Names of a block, at most, that are compared pair by pair; larger blocks are refined.
+#: Names of a tile, about; larger blocks are compared by pairs of tiles. No result depends on it.
 BLOCK = 50
 #: Least ratio of the longest common subsequence for two spellings of one word.
 ALIKE = 0.8
@@ -224,8 +224,7 @@ def link_names(mentions: DataFrame, short_names: DataFrame) -> DataFrame:
 
     Method: suffix blocking. The suffix of ``SUFFIX`` letters of each token, with the scope, is a block key;
     so are its initials,
-    for words misspelt at their ends; a block of over ``BLOCK`` names is refined by the name's other fields (initials of its words, then its
-    whole token) and never dropped: names that still share a key are linked to the block's first. Pairs of a
+    for words misspelt at their ends; a block of over ``BLOCK`` names is compared whole, in tiles. Pairs of a
     block are compared by longest-common-subsequence ratio and by initials, short forms and acronyms. What
     hangs together is resolved as one small group, where a short form counts only if one name alone fits it.
     """
@@ -242,26 +241,20 @@ def link_names(mentions: DataFrame, short_names: DataFrame) -> DataFrame:
             for scope, name, n, org, full in frame[["scope", "name", "n", "org", "full"]].itertuples(index=False):
                 p = parse(name, n, org, nicks.value)
                 tokens = p.words if org else [*p.given, p.last]
-                initials = "".join(sorted({t[0] for t in tokens if t}))
-                other = p.last[:1] if not org else tokens[0][:1] if tokens else ""
-                keys = {(t[-SUFFIX:], t) for t in tokens if len(t) >= SUFFIX and not t.endswith(".")}
+                keys = {t[-SUFFIX:] for t in tokens if len(t) >= SUFFIX and not t.endswith(".")}
                 if org:
                     whole = "".join(w[0] for w in tokens) if len(tokens) > 1 else tokens[0] if tokens else ""
-                    keys.add(("=" + whole, whole))
+                    keys.add("=" + whole)
                 elif p.given and p.last:  # typing errors at the ends of all words leave the initials alone
-                    keys.add(("#" + p.given[0][0] + p.last[0], p.last))
-                rows += [(scope, name, n, org, full, key, key + "/" + other, key + "/" + other + "/" + token) for key, token in keys or {("", initials)}]
-            yield pd.DataFrame(rows, columns=["scope", "name", "n", "org", "full", "key", "finer", "finest"])
+                    keys.add("#" + p.given[0][0] + p.last[0])
+                rows += [(scope, name, n, org, full, key) for key in keys or {""}]
+            yield pd.DataFrame(rows, columns=["scope", "name", "n", "org", "full", "key"])
 
-    keyed = checkpointed(names.mapInPandas(index, "scope string, name string, n long, org boolean, full boolean, key string, finer string, finest string"))
-    sizes = lambda c: keyed.groupBy("scope", "org", c).agg(F.countDistinct("name").alias(f"{c}_size"))
-    keyed = keyed.join(sizes("key"), ["scope", "org", "key"]).join(sizes("finer"), ["scope", "org", "finer"]).join(sizes("finest"), ["scope", "org", "finest"])
-    block = F.when(F.col("key_size") <= BLOCK, F.col("key")).when(F.col("finer_size") <= BLOCK, F.col("finer")).otherwise(F.col("finest"))
-    blocks = keyed.select("scope", block.alias("block"), "name", "n", "org", "full", (F.least("key_size", "finer_size", "finest_size") > BLOCK).alias("large"))
-    blocks = checkpointed(blocks.distinct())
-
-    first = blocks.where("large").groupBy("scope", "org", "block").agg(F.min("name").alias("first"))
-    chained = blocks.where("large").join(first, ["scope", "org", "block"]).select("scope", F.col("name").alias("a"), F.col("first").alias("b"))
+    keyed = checkpointed(names.mapInPandas(index, "scope string, name string, n long, org boolean, full boolean, key string"))
+    sizes = keyed.groupBy("scope", "org", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    tiles = F.ceil(F.col("size") / BLOCK).cast("int")
+    tiled = keyed.join(sizes, ["scope", "org", "key"]).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("name"), F.col("tiles")).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
 
     member = F.collect_list(F.struct("name", "n", "org", "full")).alias("members")
 
@@ -271,14 +264,17 @@ def link_names(mentions: DataFrame, short_names: DataFrame) -> DataFrame:
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for scope, members in zip(frame["scope"], frame["members"], strict=True):
+            for scope, one, two, members in zip(frame["scope"], frame["one"], frame["two"], frame["members"], strict=True):
                 block_names = parsed(members)
-                rows += [(scope, x.text, y.text) for i, x in enumerate(block_names) for y in block_names[i + 1 :] if compatible(x, y)]
+                first = [x for x, m in zip(block_names, members, strict=True) if m["tile"] == one]
+                second = [x for x, m in zip(block_names, members, strict=True) if m["tile"] == two]
+                pairs = ((x, y) for i, x in enumerate(first) for y in (first[i + 1 :] if one == two else second))
+                rows += [(scope, x.text, y.text) for x, y in pairs if compatible(x, y)]
             yield pd.DataFrame(rows, columns=["scope", "a", "b"])
 
-    # A block has at most BLOCK names here.
-    compared = blocks.where("NOT large").groupBy("scope", "org", "block").agg(member).where(F.size("members") > 1).mapInPandas(compare, "scope string, a string, b string")
-    edges = checkpointed(compared.unionByName(chained).where("a <> b").distinct())
+    pair = tiled.withColumn("one", F.least("tile", "other")).withColumn("two", F.greatest("tile", "other"))
+    compared = pair.groupBy("scope", "org", "key", "one", "two").agg(F.collect_list(F.struct("name", "n", "org", "full", "tile")).alias("members")).where(F.size("members") > 1)
+    edges = checkpointed(compared.mapInPandas(compare, "scope string, a string, b string").distinct())
     groups = connected(names.select("scope", "name"), edges)
 
     def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

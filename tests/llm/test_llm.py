@@ -1,5 +1,6 @@
 """Each operator against brute force, round trips or hand-made cases, with nulls, empties, repeats and clashing names."""
 
+import itertools
 import random
 import unicodedata
 
@@ -72,6 +73,17 @@ def test_link_names(spark):
     assert pairs == {("p", "Daskmoor, S.", "Samuel Daskmoor"), ("p", "Daskmoor, S.", "Samuel Daskmoro"), ("p", "Samuel Daskmoor", "Samuel Daskmoro")}
 
 
+def test_link_names_of_large_blocks(spark):
+    """A surname misspelt within, in blocks of over BLOCK names that the given name is misspelt in too."""
+    consonants = "bdfgklmnprstvz"
+    others = [f"K{a}{b}on R{a}{b}{c}okeld" for i, (a, b, c) in enumerate(itertools.product(consonants, repeat=3)) if i % 23 == 0][: 2 * names.BLOCK]
+    rows = [("p", name, "PER") for name in ["Konstantin Rookivakeld", "Konstantni Rookivvakeld", *others]]
+    short = spark.createDataFrame([("Samuel", "Sam")], "given_name string, short_name string")
+    linked = names.link_names(spark.createDataFrame(rows, "scope string, name string, kind string"), short)
+    entity = {r["name"]: r["entity"] for r in linked.collect()}
+    assert len(entity) == len(rows) and entity["Konstantin Rookivakeld"] == entity["Konstantni Rookivvakeld"]
+
+
 def test_page_lines():
     lines = ["THE IDLE SIGNET · 35", "In the rain the weaver whi-", "spered of 12", "pears near the piso", "228.", "", "- 36 -"]
     page = scans.read_page(lines)
