@@ -14,14 +14,18 @@ from lexiloom.session import checkpointed, read_table
 CAPACITY = 2048
 
 
+#: Table, key and text of the fields that look-alike texts are united in.
+_ALIKE_FIELDS = [("quote_selectors", "quote_id", "exact"), ("text_cleaner", "chunk_id", "text")]
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = [("quote_selectors", "quote_id", "exact"), ("text_cleaner", "chunk_id", "text")]
-    pairs = [lookalikes.alike_pairs(read_table(spark, sf_dir, t), k, c).select(F.lit(f"{t}.{c}").alias("field"), "id_a", "id_b") for t, k, c in fields]
+    pairs = [lookalikes.alike_pairs(read_table(spark, sf_dir, t), k, c).select(F.lit(f"{t}.{c}").alias("field"), "id_a", "id_b") for t, k, c in _ALIKE_FIELDS]
     return reduce(DataFrame.unionByName, pairs)
 
 
 def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookalikes.canonical(read_table(spark, sf_dir, "quote_selectors"), "quote_id", "exact").drop("raw")
+    forms = [lookalikes.canonical(read_table(spark, sf_dir, t), k, c).select(F.lit(f"{t}.{c}").alias("field"), F.col(k).alias("item_id"), "canonical") for t, k, c in _ALIKE_FIELDS]
+    return reduce(DataFrame.unionByName, forms)
 
 
 def p2_linked(spark: SparkSession, sf_dir: str) -> DataFrame:

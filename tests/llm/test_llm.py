@@ -7,7 +7,7 @@ import unicodedata
 import numpy as np
 import pytest
 
-from lexiloom.llm import chunks, lookalikes, names, neighbours, packing, scans, spans, tokens
+from lexiloom.llm import chunks, lookalikes, names, neighbours, packing, queries, scans, spans, tokens
 
 
 def form(text):
@@ -73,6 +73,13 @@ def test_link_names(spark):
     assert pairs == {("p", "Daskmoor, S.", "Samuel Daskmoor"), ("p", "Daskmoor, S.", "Samuel Daskmoro"), ("p", "Samuel Daskmoor", "Samuel Daskmoro")}
 
 
+def test_canonical_forms_of_both_fields(spark, tmp_path):
+    spark.createDataFrame([(1, "a  b")], "quote_id long, exact string").write.parquet(str(tmp_path / "quote_selectors.parquet"))
+    spark.createDataFrame([(1, "ﬁne"), (2, None)], "chunk_id long, text string").write.parquet(str(tmp_path / "text_cleaner.parquet"))
+    rows = {tuple(r) for r in queries.p1_canonical(spark, str(tmp_path)).collect()}
+    assert rows == {("quote_selectors.exact", 1, "a b"), ("text_cleaner.text", 1, "fine"), ("text_cleaner.text", 2, None)}
+
+
 def test_link_names_of_large_blocks(spark):
     """A surname misspelt within, in blocks of over BLOCK names that the given name is misspelt in too."""
     consonants = "bdfgklmnprstvz"
