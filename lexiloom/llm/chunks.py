@@ -20,13 +20,16 @@ _MARKS = re.compile(r"[̀-ͯ‍︎️]")
 
 
 def _cut(text: str, a: int, b: int, limit: int) -> int:
-    """The strongest boundary of text[a:b] near its middle, within its middle half; else the middle itself."""
+    """The strongest boundary of text[a:b] near its middle, within its middle half; else the nearest of any kind; else the middle itself."""
     middle, reach = (a + b) // 2, (b - a) // 4
     low, high = max(a + 1, middle - reach), min(b - 1, middle + reach)
     for kind in _BOUNDARIES:
         ends = [m.end() for m in kind.finditer(text, max(a, low - 2), min(b, high + 2)) if low <= m.end() <= high]
         if ends:
             return min(ends, key=lambda e: (abs(e - middle), e))
+    ends = [m.end() for kind in _BOUNDARIES for m in kind.finditer(text, a, b) if a < m.end() < b]
+    if ends:
+        return min(ends, key=lambda e: (abs(e - middle), e))
     while middle < high and _MARKS.match(text, middle):
         middle += 1
     return middle

@@ -73,6 +73,12 @@ def test_link_names(spark):
     assert pairs == {("p", "Daskmoor, S.", "Samuel Daskmoor"), ("p", "Daskmoor, S.", "Samuel Daskmoro"), ("p", "Samuel Daskmoor", "Samuel Daskmoro")}
 
 
+@pytest.mark.parametrize("text", ["see " + "x" * 60, "x" * 60 + " end", "so it is " + "x" * 60 + " at last"])
+def test_long_runs_are_cut_off_whole(text):
+    pieces = [text[a:b] for a, b in chunks.bisect(text, 62, 0)]
+    assert "".join(pieces) == text and all(len(p) <= 62 for p in pieces) and any("x" * 60 in p for p in pieces)
+
+
 def test_canonical_forms_of_both_fields(spark, tmp_path):
     spark.createDataFrame([(1, "a  b")], "quote_id long, exact string").write.parquet(str(tmp_path / "quote_selectors.parquet"))
     spark.createDataFrame([(1, "ﬁne"), (2, None)], "chunk_id long, text string").write.parquet(str(tmp_path / "text_cleaner.parquet"))
