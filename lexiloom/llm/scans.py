@@ -23,6 +23,7 @@ _READ_FOR = {
 }
 #: Characters that no printed word mixes with letters.
 _ODD = re.compile(r"[015689@$ſ]")
+_ORDINAL = re.compile(r"\d*(?:1st|2nd|3rd|\dth)", re.I)
 #: The chance that a character that can be misread is.
 _ERROR = 0.003
 _HYPHENS = "-¬\xad‐"
@@ -123,6 +124,11 @@ def _is_odd(word: str) -> bool:
     return bool(_ODD.search(word)) and sum(c.isalpha() for c in word) >= 2 and not re.fullmatch(r"\d+\w{0,2}", word)
 
 
+def _may_be_odd(word: str) -> bool:
+    """Odd, or like a number with letters ('0f', '5he'), which stands as it is if no known word is likelier; ordinals are neither."""
+    return bool(_ODD.search(word)) and any(c.isalpha() for c in word) and not _ORDINAL.fullmatch(word)
+
+
 def word_counts(corpus: DataFrame, flush: int = 1_000_000) -> DataFrame:
     """(word, pair, n) over all texts of ``corpus`` (text): words with a null pair, and hashes of two words in sequence.
 
@@ -202,8 +208,8 @@ def suspects(vocab: DataFrame, ratio: float = 3.0) -> DataFrame:
     """
     def single_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(w, n, len(_ODD.findall(w)), printed_for(w)) for w, n in zip(frame["word"], frame["n"], strict=True) if _is_odd(w)]
-            yield pd.DataFrame(rows, columns=["word", "n", "places", "unknown"])
+            rows = [(w, n, len(_ODD.findall(w)), printed_for(w), _is_odd(w)) for w, n in zip(frame["word"], frame["n"], strict=True) if _may_be_odd(w)]
+            yield pd.DataFrame(rows, columns=["word", "n", "places", "unknown", "sure"])
 
     lettered = F.col("word").rlike(r"^[\p{L}\p{M}-]+$") & ~F.col("word").contains("ſ")
     known = vocab.where(lettered).select(F.col("word").alias("printed"), F.col("n").alias("m"))
@@ -216,16 +222,16 @@ def suspects(vocab: DataFrame, ratio: float = 3.0) -> DataFrame:
 
     # Odd words the same, but forms of one skeleton meet; only words of letters and odd characters can have been words of letters.
     odd = vocab.where(F.col("word").rlike(r"[015689@$ſ]") & F.col("word").rlike(r"^[\p{L}\p{M}015689@$-]+$"))
-    odd = checkpointed(odd.mapInPandas(single_out, "word string, n long, places int, unknown string"))
-    forms = odd.select("word", "n", "places", F.col("word").alias("form"), F.lit(0).alias("undone"), F.lit(0).alias("at"), F.lit(0).alias("size"))
-    forms = forms.unionByName(_exchanged(odd.select("word", "n", "places"), "word", "read", "true").withColumnRenamed("changed", "form").withColumn("undone", F.lit(1)))
+    odd = checkpointed(odd.mapInPandas(single_out, "word string, n long, places int, unknown string, sure boolean"))
+    forms = odd.select("word", "n", "places", "sure", F.col("word").alias("form"), F.lit(0).alias("undone"), F.lit(0).alias("at"), F.lit(0).alias("size"))
+    forms = forms.unionByName(_exchanged(odd.select("word", "n", "places", "sure"), "word", "read", "true").withColumnRenamed("changed", "form").withColumn("undone", F.lit(1)))
     met = known.select("printed", "m", F.col("printed").alias("between"), F.lit(0).alias("made"), F.lit(0).alias("at_2"), F.lit(0).alias("size_2"))
     met = met.unionByName(_exchanged(known, "printed", "true", "read").withColumnsRenamed({"changed": "between", "at": "at_2", "size": "size_2"}).withColumn("made", F.lit(1)))
     met = forms.withColumn("skeleton", _skeleton(F.col("form"))).join(met.withColumn("skeleton", _skeleton(F.col("between"))), "skeleton").where("made <= undone").where(apart)
     met = met.where("substr(form, at_2, size_2) = substr(between, at_2, size_2)").where(_read_as(F.col("between"), F.col("form")))
-    mended = met.select("word", "n", "printed", F.expr("places + undone + made").alias("errors"), "m")
+    mended = met.where(F.col("sure") | (F.col("m") >= F.col("n") * ratio) & (F.col("m") >= 2)).select("word", "n", "printed", F.expr("places + undone + made").alias("errors"), "m")
     # An unknown word stands for up to three odd characters; strings with more are codes, unless a known word is like them.
-    unknown = odd.where("places <= 3").select("word", "n", F.col("unknown").alias("printed"), F.col("places").alias("errors"), F.lit(0).cast("long").alias("m"))
+    unknown = odd.where("sure AND places <= 3").select("word", "n", F.col("unknown").alias("printed"), F.col("places").alias("errors"), F.lit(0).cast("long").alias("m"))
 
     likely = likely.unionByName(mended).unionByName(unknown).groupBy("word", "printed").agg(F.any_value("n").alias("n"), F.min("errors").alias("errors"), F.max("m").alias("m"))
     readings = F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("rank"), "errors", "printed", "m")))
@@ -373,7 +379,7 @@ def page_rows(text: str, known=frozenset()) -> Iterator[tuple]:
                 yield i, "hyphen", first + carried, first + "-" + carried, None
                 words = _PY_WORD.findall(line[: piece.start()]) + [first + carried]
         for k, word in enumerate(words):
-            if word not in known and len(word) > 2:
+            if word not in known and (len(word) > 2 or _may_be_odd(word)):
                 yield i, "word", word, first if k == len(words) - 1 else None, words
 
 

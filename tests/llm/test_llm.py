@@ -121,6 +121,15 @@ def test_two_confusions(spark):
     assert found == {"p055e55i0ns": {("possessions", 6)}, "rnodem": {("modern", 2)}, "cb0sen": {("cbosen", 1), ("chosen", 2)}, "tbe": {("the", 1)}}
 
 
+def test_short_odd_words(spark):
+    good = "the weaver of every kettle whispered that he was near one 5th bridge in 10 or 5m of water"
+    page = "The weaver 0f every kettle whispered that 5he\nwas near 0ne 5th bridge 1n 10 or 5m of water."
+    pages = spark.createDataFrame([("f", 1, page)], "field string, record_id long, text string")
+    she = good.replace(" he ", " she ")
+    faults = scans.find_faults(pages, spark.createDataFrame([(she,)] * 20 + [(page,)], "text string")).collect()
+    assert {(r["line_no"], r["word"], r["printed"]) for r in faults} == {(0, "0f", "of"), (0, "5he", "she"), (1, "0ne", "one"), (1, "1n", "in")}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     rows = [(i, "m", [float(x) for x in rng.normal(size=8)], 8) for i in range(300)]
