@@ -198,3 +198,23 @@ def test_remove_repeated_sentences(spark):
     df = spark.createDataFrame([(1, run + "End."), (2, "Start of two. " + run), (3, None), (4, "Short.")], "id long, t string")
     out = {r["id"]: (r["text"], r["removed"]) for r in spans.remove_repeated_sentences(df, "id", "t").collect()}
     assert out == {1: (run + "End.", 0), 2: ("Start of two. ", 3), 3: (None, 0), 4: ("Short.", 0)}
+
+
+def test_neighbours_in_parts(spark):
+    """Clustered vectors fall into parts, of which a query meets few; the table scan orders as the product does."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, "m", [float(x) for x in centres[i % 12] + 0.1 * rng.normal(size=16)], 16) for i in range(3000)]
+    index = neighbours.usable(spark.createDataFrame(rows, "id long, model string, v array<double>, d int"), "id", "v", "d", "model")
+    x = np.stack([r[2] for r in rows]) / np.linalg.norm([r[2] for r in rows], axis=1, keepdims=True)
+    model = neighbours.learn(x.astype(np.float32), 3000, 10, 0.3, 250, 100, 4, 0.99)
+    assert len(model.centres) == 12 and model.probes < 12
+    table = neighbours.tables(x[:3], model.books)
+    codes = neighbours.assign(x.astype(np.float32), model.books, 2.0)
+    sums = neighbours.scan_tables(table, neighbours.pack_codes(codes).T.astype(np.intp))
+    decoded = model.books[np.arange(8)[None], codes].reshape(3000, -1)
+    assert all(np.corrcoef(a, b)[0, 1] > 0.999 for a, b in zip(sums, x[:3] @ decoded.T, strict=True))
+    asked = spark.createDataFrame([(i, 10) for i in range(0, 3000, 100)], "id long, k int")
+    found = {(r["id"], r["other"]) for r in neighbours.most_similar(index, asked, rows_per_part=250, rows_per_block=100, queries_per_block=8, rerank_least=50).collect()}
+    true = {(r["id"], r["other"]) for r in neighbours.brute_force(index, asked, 1000, 8).collect()}
+    assert len(found & true) >= 0.9 * len(true) and len(found) == len(true) == 300
