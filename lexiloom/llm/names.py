@@ -7,9 +7,12 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.session import checkpointed
@@ -17,7 +20,7 @@ from lexiloom.session import checkpointed
 #: Shortest suffix of a token that is indexed.
 SUFFIX = 4
 #: Names of a tile, about; larger blocks are compared by pairs of tiles. No result depends on it.
-BLOCK = 50
+BLOCK = 256
 #: Least ratio of the longest common subsequence for two spellings of one word.
 ALIKE = 0.8
 
@@ -26,6 +29,8 @@ _TITLES = {"dr", "rev", "prof", "capt", "mr", "mrs", "ms", "miss", "sir", "col",
 _GENERATIONS = {"jr": "jr", "junior": "jr", "sr": "sr", "senior": "sr", "younger": "jr", "elder": "sr", "ii": "ii", "iii": "iii", "iv": "iv"}
 _ORG_TAILS = {"ltd", "inc", "co", "llc", "plc", "gmbh", "corp", "limited"}
 _SMALL = {"the", "of", "and", "for", "de", "der", "du"}
+_PARTICLES = "de|del|della|der|den|des|di|do|dos|du|da|la|le|los|van|von|vom|zu|zum|zur|ten|ter|af|av|al|el|bin|ibn"
+_DETERMINERS = "the|a|an|this|that|these|those|such|both|some|any|every|each|all|my|your|his|her|its|our|their|one|two|three"
 
 
 def fold(word: str) -> str:
@@ -33,6 +38,7 @@ def fold(word: str) -> str:
     return "".join(c for c in plain if c.isalnum() or c in ".")
 
 
+@lru_cache(1 << 16)
 def ratio(a: str, b: str) -> float:
     """2 * LCS / (len(a) + len(b)), the subsequence counted in the bits of one number."""
     if not a or not b:
@@ -190,50 +196,109 @@ def resolve(names: list[Name]) -> list[list[Name]]:
     return groups
 
 
-def names_of(mentions: DataFrame, short_names: DataFrame) -> DataFrame:
+def _pairs_alike(a: list[str], b: list[str]) -> Iterator[tuple[str, str]]:
+    """Words of a with the words of b that are ``alike``; only pairs with enough letters in common are compared in full."""
+
+    def letters(words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), 32), np.int16)
+        for row, word in zip(out, words, strict=True):
+            for c in word:
+                row[ord(c) & 31] += 1
+        return out
+
+    x, y = letters(a), letters(b)
+    sizes = y.sum(1)
+    for word, row in zip(a, x, strict=True):
+        common = np.minimum(row, y).sum(1)
+        for i in np.flatnonzero(2 * common >= ALIKE * (row.sum() + sizes)):
+            if alike(word, b[i]):
+                yield word, b[i]
+
+
+def _head(name: Name) -> str | None:
+    """The word that must be alike in all spellings: a last name, an organisation's first word if it stands whole beside others."""
+    if not name.org:
+        return name.last
+    return name.words[0] if len(name.words) > 1 and not _cut(name.words[0]) else None
+
+
+def compatible_pairs(first: list[Name], second: list[Name] | None = None) -> Iterator[tuple[Name, Name]]:
+    """The compatible pairs of one list of names, or of two."""
+    sides = []
+    for names in (first, first if second is None else second):
+        by: dict[str | None, list[tuple[int, Name]]] = defaultdict(list)
+        for i, name in enumerate(names):
+            by[_head(name)].append((i, name))
+        sides.append(by)
+    left, right = sides
+    heads = [(x, y) for x, y in _pairs_alike([h for h in left if h is not None], [h for h in right if h is not None])]
+    heads += [(None, h) for h in right] + [(h, None) for h in left if h is not None and None in right]
+    for x, y in heads:
+        for i, one in left.get(x, ()):
+            for j, two in right[y]:
+                if (second is not None or i < j) and compatible(one, two):
+                    yield one, two
+
+
+def names_of(mentions: DataFrame) -> DataFrame:
     """(scope, name, n, org, full): the distinct names of each scope with what is known of them.
 
     ``mentions`` has (scope, name, kind), kind ORG, PER, PERSON, another or null. A string is an organisation
     if it is tagged so, or holds a word that organisations of several scopes bear, or is a short word of
-    capitals. Descriptions (strings that don't begin with a capital) and strings only tagged as something else
-    are no names.
+    capitals. Names begin with a capital, maybe after particles, or with a letter of a script without case;
+    a string in small letters is one if it is tagged so and begins with no determiner, or if it has two words
+    or more and all of them stand in other names of its scope. Descriptions and strings only tagged as
+    something else are no names.
     """
-    rows = mentions.where(F.col("scope").isNotNull() & F.col("name").rlike(r"^\s*\p{Lu}"))
+    rows = mentions.where(F.col("scope").isNotNull() & F.col("name").rlike(r"\p{L}"))
     named = rows.groupBy("scope", "name").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.coalesce(F.col("kind") == "ORG", F.lit(False))).alias("tagged"), F.max(F.coalesce(F.col("kind").isin("PER", "PERSON"), F.lit(False))).alias("person"),
         F.max(F.col("kind").isNull() | F.col("kind").isin("ORG", "PER", "PERSON")).alias("named"),
     ).where("named")
+    capital = F.col("name").rlike(rf"^\s*(?:(?:{_PARTICLES})\s+|[dlo]['’])*[\p{{Lu}}\p{{Lt}}\p{{Lo}}]")
+    told = (F.col("tagged") | F.col("person")) & ~F.col("name").rlike(rf"^\s*(?:{_DETERMINERS})\s")
+    named = checkpointed(named.withColumns({"capital": capital, "told": told}))
+    every = F.filter(F.split(F.lower("name"), r"[\s,.]+"), lambda w: F.length(w) > 0)
+    small = named.where("NOT capital AND NOT told").select("scope", "name", every.alias("words")).where(F.size("words") > 1)
+    known_words = named.where("capital").select("scope", F.explode(every).alias("word")).distinct()
+    small = small.select("scope", "name", F.size(F.array_distinct("words")).alias("n_words"), F.explode(F.array_distinct("words")).alias("word"))
+    borrowed = small.join(known_words, ["scope", "word"]).groupBy("scope", "name").agg(F.first("n_words").alias("n_words"), F.count(F.lit(1)).alias("found")).where("found = n_words")
+    named = named.where("capital OR told").unionByName(named.where("NOT capital AND NOT told").join(borrowed.select("scope", "name"), ["scope", "name"], "left_semi"))
+
     words = F.filter(F.split(F.lower("name"), r"[\s,]+"), lambda w: F.length(w) > 3)
-    org_words = named.where("tagged AND NOT person").select("scope", F.explode(F.slice(words, 2, 8)).alias("word"))
+    org_words = named.where("tagged AND NOT person").select("scope", F.explode(F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))).alias("word"))
     org_words = org_words.groupBy("word").agg(F.countDistinct("scope").alias("scopes")).where("scopes >= 3").select("word")
     borne = named.select("scope", "name", F.explode(words).alias("word")).join(org_words, "word", "left_semi").select("scope", "name").distinct().withColumn("bears", F.lit(True))
     given = F.split(F.regexp_replace("name", r",.*", ""), r"\s+")
-    middle = named.where(~F.col("tagged") & (F.size(given) == 3)).select("scope", F.lower(given[1]).alias("word")).where("word NOT LIKE '%.' AND length(word) > 2")
+    middle = named.where(~F.col("tagged") & (F.size(given) >= 3)).select("scope", F.explode(F.slice(F.transform(given, F.lower), 2, F.greatest(F.size(given) - 2, F.lit(1)))).alias("word"))
+    middle = middle.where("word NOT LIKE '%.' AND length(word) > 2")
     known = middle.groupBy("word").agg(F.countDistinct("scope").alias("scopes")).where("scopes >= 3").select(F.col("word").alias("first"))
-    out = named.join(borne, ["scope", "name"], "left").withColumn("first", F.lower(given[0])).join(known.withColumn("known", F.lit(True)), "first", "left")
+    out = named.join(borne, ["scope", "name"], "left").withColumn("first", F.lower(F.try_element_at(given, F.lit(1)))).join(known.withColumn("known", F.lit(True)), "first", "left")
     org = F.col("tagged") & ~F.col("person") | F.col("bears").isNotNull() | F.col("name").rlike(r"^[A-Z]{2,5}$")
     return out.select("scope", "name", "n", org.alias("org"), F.col("known").isNotNull().alias("full"))
 
 
 def link_names(mentions: DataFrame, short_names: DataFrame) -> DataFrame:
-    """(scope, entity, name): the names of each scope, those of one person or organisation with one entity number.
+    """(scope, entity, name): the names of each scope, those of one person or organisation with one entity name.
 
     ``mentions`` has (scope, name, kind); ``short_names`` (given_name, short_name), a small fixed table, is
     read by the driver. Strings are taken as stored; null ones, blanks and descriptions are left out;
-    repeated rows count as frequency.
+    repeated rows count as frequency. Other columns are ignored; empty tables give no rows.
 
     Method: suffix blocking. The suffix of ``SUFFIX`` letters of each token, with the scope, is a block key;
-    so are its initials,
-    for words misspelt at their ends; a block of over ``BLOCK`` names is compared whole, in tiles. Pairs of a
-    block are compared by longest-common-subsequence ratio and by initials, short forms and acronyms. What
-    hangs together is resolved as one small group, where a short form counts only if one name alone fits it.
+    so are the initials of a person, for words misspelt at their ends. No suffix is discarded: a block is
+    refined by the last names (or first words of organisations) in it, of which only those alike by
+    longest-common-subsequence ratio are looked at further, by given names, initials, short forms and
+    acronyms; a block of over ``BLOCK`` names is compared by pairs of tiles, in tasks of their own. What hangs
+    together, distinct names of one scope all, is resolved as one group, where a short form counts only if one
+    name alone fits it.
     """
     spark = mentions.sparkSession
     short: dict[str, set] = defaultdict(set)
     for row in short_names.where("given_name IS NOT NULL AND short_name IS NOT NULL").select("given_name", "short_name").distinct().collect():
         short[fold(row["short_name"])].add(fold(row["given_name"]))
     nicks = spark.sparkContext.broadcast({k: frozenset(v) for k, v in short.items()})
-    names = checkpointed(names_of(mentions, short_names))
+    names = checkpointed(names_of(mentions))
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -250,13 +315,16 @@ def link_names(mentions: DataFrame, short_names: DataFrame) -> DataFrame:
                 rows += [(scope, name, n, org, full, key) for key in keys or {""}]
             yield pd.DataFrame(rows, columns=["scope", "name", "n", "org", "full", "key"])
 
-    keyed = checkpointed(names.mapInPandas(index, "scope string, name string, n long, org boolean, full boolean, key string"))
-    sizes = keyed.groupBy("scope", "org", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    block = ["scope", "org", "key"]
+    keyed = names.mapInPandas(index, "scope string, name string, n long, org boolean, full boolean, key string")
+    sized = keyed.withColumn("size", F.count(F.lit(1)).over(W.partitionBy(*block))).where("size > 1")
+    member = lambda *more: F.collect_list(F.struct("name", "n", "org", "full", *more)).alias("members")
+    # Blocks of one tile are grouped where they lie; of the others, each pair of tiles is a group of its own.
+    alone = sized.where(F.col("size") <= BLOCK).withColumns({"one": F.lit(0), "two": F.lit(0), "tile": F.lit(0)})
     tiles = F.ceil(F.col("size") / BLOCK).cast("int")
-    tiled = keyed.join(sizes, ["scope", "org", "key"]).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("name"), F.col("tiles")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-
-    member = F.collect_list(F.struct("name", "n", "org", "full")).alias("members")
+    tiled = sized.where(F.col("size") > BLOCK).withColumn("tile", F.pmod(F.xxhash64("name"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    tiled = tiled.withColumn("one", F.least("tile", "other")).withColumn("two", F.greatest("tile", "other")).repartition(*block, "one", "two")
+    blocks = [rows.groupBy(*block, "one", "two").agg(member("tile")).select("scope", "one", "two", "members") for rows in (alone, tiled)]
 
     def parsed(members) -> list[Name]:
         return [parse(m["name"], m["n"], m["org"], nicks.value, [fold(m["name"].split()[0])] if m["full"] else ()) for m in members]
@@ -265,17 +333,13 @@ def link_names(mentions: DataFrame, short_names: DataFrame) -> DataFrame:
         for frame in frames:
             rows = []
             for scope, one, two, members in zip(frame["scope"], frame["one"], frame["two"], frame["members"], strict=True):
-                block_names = parsed(members)
-                first = [x for x, m in zip(block_names, members, strict=True) if m["tile"] == one]
-                second = [x for x, m in zip(block_names, members, strict=True) if m["tile"] == two]
-                pairs = ((x, y) for i, x in enumerate(first) for y in (first[i + 1 :] if one == two else second))
-                rows += [(scope, x.text, y.text) for x, y in pairs if compatible(x, y)]
+                side = lambda t, ms=members: parsed([m for m in ms if m["tile"] == t])
+                rows += [(scope, x.text, y.text) for x, y in compatible_pairs(side(one), None if one == two else side(two))]
             yield pd.DataFrame(rows, columns=["scope", "a", "b"])
 
-    pair = tiled.withColumn("one", F.least("tile", "other")).withColumn("two", F.greatest("tile", "other"))
-    compared = pair.groupBy("scope", "org", "key", "one", "two").agg(F.collect_list(F.struct("name", "n", "org", "full", "tile")).alias("members")).where(F.size("members") > 1)
-    edges = checkpointed(compared.mapInPandas(compare, "scope string, a string, b string").distinct())
-    groups = connected(names.select("scope", "name"), edges)
+    pairs = blocks[0].unionByName(blocks[1]).mapInPandas(compare, "scope string, a string, b string")
+    edges = pairs.select(F.xxhash64("scope", "a").alias("a"), F.xxhash64("scope", "b").alias("b")).distinct()
+    labels = connected(edges)
 
     def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -284,21 +348,27 @@ def link_names(mentions: DataFrame, short_names: DataFrame) -> DataFrame:
                 rows += [(scope, min(x.text for x in group), name.text) for group in resolve(parsed(members)) for name in group]
             yield pd.DataFrame(rows, columns=["scope", "entity", "name"])
 
-    return names.join(groups, ["scope", "name"]).groupBy("scope", "label").agg(member).mapInPandas(settle, "scope string, entity string, name string")
+    labelled = names.withColumn("node", F.xxhash64("scope", "name")).join(labels, "node", "left")
+    groups = labelled.where("label IS NOT NULL").groupBy("scope", "label").agg(member())
+    linked = groups.mapInPandas(settle, "scope string, entity string, name string")
+    return linked.unionByName(labelled.where("label IS NULL").select("scope", F.col("name").alias("entity"), "name"))
 
 
-def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(scope, name, label): connected components by least label, each round also following labels of labels."""
-    both = checkpointed(edges.unionByName(edges.select("scope", F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = nodes.withColumn("label", F.col("name"))
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, label): connected components of edges (a, b) of BIGINT nodes, by least label; each round also follows labels of labels.
+
+    Nodes are hashes. Should two share one, their components come out as one, which is harmless where a
+    component is only a group to look at.
+    """
+    both = checkpointed(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label"))
     while True:
-        near = both.join(labels.select("scope", F.col("name").alias("b"), "label"), ["scope", "b"]).groupBy("scope", F.col("a").alias("name")).agg(F.min("label").alias("near"))
-        step = labels.join(near, ["scope", "name"], "left").select("scope", "name", "label", F.least("label", "near").alias("less"))
-        of = step.select("scope", F.col("name").alias("less"), F.col("less").alias("further"))
-        new = checkpointed(step.join(of, ["scope", "less"]).select("scope", "name", "label", F.least("less", "further").alias("next")))
-        moved = new.where("next <> label").limit(1).count()
-        labels = new.select("scope", "name", F.col("next").alias("label"))
-        if not moved:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        of = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        new = checkpointed(step.join(of, "label").select("node", "was", F.least("label", "further").alias("label")))
+        labels = new.select("node", "label")
+        if not new.where("was <> label").limit(1).count():
             return labels
 
 

@@ -218,3 +218,34 @@ def test_neighbours_in_parts(spark):
     found = {(r["id"], r["other"]) for r in neighbours.most_similar(index, asked, rows_per_part=250, rows_per_block=100, queries_per_block=8, rerank_least=50).collect()}
     true = {(r["id"], r["other"]) for r in neighbours.brute_force(index, asked, 1000, 8).collect()}
     assert len(found & true) >= 0.9 * len(true) and len(found) == len(true) == 300
+
+
+@pytest.mark.parametrize("others", [20, 70, 3 * names.BLOCK])
+def test_links_do_not_depend_on_block_size(spark, others):
+    consonants = "bdfgklmnprstvz"
+    made = itertools.product(consonants, repeat=3)
+    crowd = [f"S{a}{b}rel D{b}{c}{a}koor" for a, b, c in itertools.islice(made, others)]
+    rows = [("p", name, "PER") for name in ["Spyopq Dasmkoor", "Spyopu Daskmoor", *crowd]]
+    short = spark.createDataFrame([("Samuel", "Sam")], "given_name string, short_name string")
+    entity = {r["name"]: r["entity"] for r in names.link_names(spark.createDataFrame(rows, "scope string, name string, kind string"), short).collect()}
+    assert len(entity) == len(rows) and entity["Spyopq Dasmkoor"] == entity["Spyopu Daskmoor"]
+
+
+def test_names_without_capitals(spark):
+    rows = [("p", "Samuel Daskmoor", "PER"), ("p", "samuel daskmoor", None), ("p", "王小明", "PER"), ("p", "de Grey Marcus", None), ("p", "Marcus de Grey", "PER"), ("p", "the old miller", "PER"), ("p", "both sisters", None), ("p", "ann zell", "PER"), ("p", "market", "LOC"), ("p", "  ", "PER")]
+    short = spark.createDataFrame([], "given_name string, short_name string")
+    out = {r["name"]: r["entity"] for r in names.link_names(spark.createDataFrame(rows, "scope string, name string, kind string"), short).collect()}
+    assert set(out) == {"Samuel Daskmoor", "samuel daskmoor", "王小明", "de Grey Marcus", "Marcus de Grey", "ann zell"}
+    assert out["samuel daskmoor"] == out["Samuel Daskmoor"]
+
+
+def test_compatible_pairs_are_all(spark):
+    rng = random.Random(8)
+    texts = [f"{rng.choice(['Samuel', 'Sam', 'S.', 'Tobias', 'Samule'])} {rng.choice(['Daskmoor', 'Dasmkoor', 'Zell', 'Zelll', 'Pellport'])}" for _ in range(40)] + ["Zell", "Daskmoor, S."]
+    orgs = ["Jarrport Railway Association", "JRA", "J. Railway Association", "Railway Association of Jarrport", "Jarrprot Railway Association", "Tarnlake Railway Association", "TRA"]
+    for parsed in ([names.parse(t, 1, False, {}) for t in set(texts)], [names.parse(t, 1, True, {}) for t in orgs]):
+        want = {frozenset((a.text, b.text)) for a, b in itertools.combinations(parsed, 2) if names.compatible(a, b)}
+        assert {frozenset((a.text, b.text)) for a, b in names.compatible_pairs(parsed)} == want
+        half = len(parsed) // 2
+        across = {frozenset((a.text, b.text)) for a in parsed[:half] for b in parsed[half:] if names.compatible(a, b)}
+        assert {frozenset((a.text, b.text)) for a, b in names.compatible_pairs(parsed[:half], parsed[half:])} == across
