@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,13 +25,15 @@ _READ_FOR = {
 #: Characters that no printed word mixes with letters.
 _ODD = re.compile(r"[015689@$ſ]")
 _ORDINAL = re.compile(r"\d*(?:1st|2nd|3rd|\dth)", re.I)
-#: The chance that a character that can be misread is.
-_ERROR = 0.003
+#: The chance that a character that can be misread is, on a scanned page. The corpus, which holds clean texts too, tells how
+#: the confusions differ from this mean: by a factor of ``_SPREAD`` at most, and as if ``_ERROR_WEIGHT`` characters had told it before.
+_ERROR, _ERROR_WEIGHT, _SPREAD = 0.003, 1000, 3.0
 _HYPHENS = "-¬\xad‐"
 _BREAK = re.compile(r"(?<=[^\W\d_])[-¬\xad‐][ ]*\n[ ]*(?=[^\W\d_])")
 _PY_WORD = re.compile(r"[\w@$]+(?:-[\w@$]+)*")
 _ROMAN = re.compile(r"(?=[ivxlcdm])(?:m{0,3})(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 _NUMBER = re.compile(r"\s*(?:(page\s+)|([-–—\[(]+)\s*)?(\d{1,4}|[\dlO]*\d[\dlO]*|[ivxlcdm]+)(?:\s*([-–—\])]+)|(\.))?\s*$", re.I)
+_CHAPTER = re.compile(r"\s*(?:Chapter|Part|Book|Volume|Act|Scene|Canto|Section|Prologue|Epilogue|Preface|Introduction)\b(?:\s+(?:[Tt]he\s+)?[\w-]+)?[.:]?\s*")
 _HEADER_NUMBER = re.compile(r"^\d{1,4}\s{2,}|\s{2,}\d{1,4}$|\s+[·•|]\s+\d{1,4}$")
 
 #: Words, at most, that every task knows to be without a likelier reading; other words are joined.
@@ -55,6 +58,9 @@ def _header_core(line: str) -> tuple[str, bool]:
 
 
 def _titled(core: str) -> bool:
+    start = core[:80].split(None, 2)
+    if len(core) > 60 or len(start) > 1 and start[1][0].islower() and start[1][0] not in "lſ" and start[1] not in ("of", "the", "and", "in"):
+        return False
     words = core.split()
     if len(words) > 1 and words[1][0].islower() and words[1][0] not in "lſ" and words[1] not in ("of", "the", "and", "in"):
         return False
@@ -69,7 +75,8 @@ def read_page(lines: list[str]) -> Page:
     """Which lines are running headers, page numbers and text.
 
     A header is a titled line (capitals, or every word capitalised, without closing punctuation) at the top:
-    first of the record, or below a page number, or bearing a number beside it, or repeated in the record. A
+    first of the record, or below a page number, or bearing a number beside it, or repeated in the record; the
+    heading of a chapter, not all in capitals, is one only if it bears a number or is repeated. A
     page number stands alone on its line; a number with a full stop may also end a sentence that the line
     break cut, and then is text: it counts if it is indented or fits between the record's sure ones.
     """
@@ -107,7 +114,8 @@ def read_page(lines: list[str]) -> Page:
     headers = []
     above = {b: a for a, b in zip(filled, filled[1:], strict=False)}
     for i, (name, numbered) in titled.items():
-        if i == filled[0] or numbered or above[i] in numbers or repeated[name] > 1 and not lines[i].startswith(" "):
+        again = repeated[name] > 1 and not lines[i].startswith(" ")
+        if numbered or again or (i == filled[0] or above[i] in numbers) and not _CHAPTER.fullmatch(lines[i]):
             headers.append(i)
     gone = numbers | set(headers)
     return Page(sorted(headers), sorted(numbers), [i for i in range(len(lines)) if i not in gone])
@@ -165,26 +173,60 @@ def _counted(words: list[str | None]) -> pd.DataFrame:
     return pd.DataFrame({"a": names[first], "b": names[second], "n": np.concatenate([single, n])})
 
 
+#: The confusions of letters with letters: (read, true).
+_LETTERS = [(read, true) for read, trues in _READ_FOR.items() for true in trues if read.isalpha() and true.isalpha() and read != "ſ"]
+
+
 def _exchanged(words: DataFrame, source: str, old: str, new: str) -> DataFrame:
     """``words`` with ``changed``, ``source`` with one confusion of letters made (true to read) or undone (read to true).
 
-    ``at`` and ``size`` are the place of the new letters.
+    ``at`` and ``size`` are the place of the new letters, counted from 1, ``rule`` is the confusion as 'read>true'.
     """
-    rules = [(read, true) for read, trues in _READ_FOR.items() for true in trues if read.isalpha() and true.isalpha() and read != "ſ"]
-    rules = rules if (old, new) == ("read", "true") else [(true, read) for read, true in rules]
-    of: dict[int, dict[str, list[str]]] = {1: {}, 2: {}}
-    for before, after in rules:
-        of[len(before)].setdefault(before, []).append(after)
-    struct = lambda size, after: F.struct(F.lit(size).alias("old_size"), F.lit(after).alias("new"))
-    none = F.array().cast("array<struct<old_size: int, new: string>>")
-    word, found = F.col(source), []
-    for size, table in of.items():
-        tried = F.create_map(*(c for before, afters in table.items() for c in (F.lit(before), F.array(*(struct(size, after) for after in afters)))))
-        found.append(F.coalesce(F.try_element_at(tried, F.substr(word, F.col("at"), F.lit(size))), none))
-    places = words.select("*", F.explode(F.sequence(F.lit(1), F.length(word))).alias("at"))
-    places = places.select("*", F.explode(F.concat(*found)).alias("r"))
-    changed = F.concat(F.substr(word, F.lit(1), F.col("at") - 1), F.col("r.new"), F.substr(word, F.col("at") + F.col("r.old_size")))
-    return places.select(*words.columns, changed.alias("changed"), "at", F.length("r.new").alias("size"))
+    undo = (old, new) == ("read", "true")
+    of: dict[str, list[tuple[str, str]]] = {}
+    for read, true in _LETTERS:
+        of.setdefault(read if undo else true, []).append((true if undo else read, f"{read}>{true}"))
+    names = words.columns
+
+    def change(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        single, double = ({k: v for k, v in of.items() if len(k) == n} for n in (1, 2))
+        for frame in frames:
+            rows, made = [], []
+            for i, word in enumerate(frame[source]):
+                for at, c in enumerate(word):
+                    found = single.get(c, ())
+                    longer = double.get(word[at : at + 2], ())
+                    for size, tried in ((1, found), (2, longer)):
+                        for after, rule in tried:
+                            rows.append(i)
+                            made.append((word[:at] + after + word[at + size :], at + 1, len(after), rule))
+            out = frame.iloc[rows].reset_index(drop=True)
+            out[["changed", "at", "size", "rule"]] = pd.DataFrame(made, columns=["changed", "at", "size", "rule"]) if made else pd.DataFrame(columns=["changed", "at", "size", "rule"])
+            yield out
+
+    kinds = ", ".join(f"{c} {t}" for c, t in words.dtypes)
+    return words.select(*names).mapInPandas(change, f"{kinds}, changed string, at int, size int, rule string")
+
+
+def confusion_chances(vocab: DataFrame, likely: DataFrame) -> dict[str, float]:
+    """The chance of each confusion of letters, 'read>true', estimated from the corpus: how often it explains a word, of how often it could have happened.
+
+    The chances are scaled to a mean (of logarithms, over the words explained) of ``_ERROR``. The rules are a
+    fixed table, and so is what reaches the driver.
+    """
+    trues = sorted({true for _, true in _LETTERS})
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            n = frame["n"].to_numpy()
+            yield pd.DataFrame({"true": trues, "n": [int((frame["word"].str.count(re.escape(t)).to_numpy() * n).sum()) for t in trues]})
+
+    could = {r["true"]: r["n"] for r in vocab.select("word", "n").mapInPandas(count, "true string, n long").groupBy("true").agg(F.sum("n").alias("n")).collect()}
+    did = {r["rule"]: r["n"] for r in likely.where("errors = 1").groupBy(F.col("rules")[0].alias("rule")).agg(F.sum("n").alias("n")).collect()}
+    rate = {f"{read}>{true}": (did.get(f"{read}>{true}", 0) + _ERROR * _ERROR_WEIGHT) / (could.get(true, 0) + _ERROR_WEIGHT) for read, true in _LETTERS}
+    seen = sum(did.values())
+    mean = math.exp(sum(n * math.log(rate[rule]) for rule, n in did.items()) / seen) if seen else _ERROR
+    return {rule: _ERROR * min(max(r / mean, 1 / _SPREAD), _SPREAD) for rule, r in rate.items()}
 
 
 def _skeleton(word: Column) -> Column:
@@ -199,8 +241,10 @@ def _read_as(printed: Column, read: Column) -> Column:
     return F.forall(F.sequence(F.lit(1), F.length(read)), lambda i: (letter(read, i) == letter(printed, i)) | F.array_contains(pairs, F.concat(letter(read, i), letter(printed, i))))
 
 
-def suspects(vocab: DataFrame, ratio: float = 3.0) -> DataFrame:
-    """(word, n, readings): words for which likelier printed words exist, with these.
+def suspects(vocab: DataFrame, ratio: float = 3.0) -> tuple[DataFrame, dict[str, float]]:
+    """(word, n, readings), words for which likelier printed words exist, with these, and the chances of confusions.
+
+    A reading has the printed word, its count m, the number of errors, and the confusions of letters among them.
 
     Up to two confusions of letters are undone, at any places of a word, and in odd words all odd characters
     besides. In words of letters two confusions are found by the form between them: one undone in the word
@@ -215,54 +259,69 @@ def suspects(vocab: DataFrame, ratio: float = 3.0) -> DataFrame:
     known = vocab.where(lettered).select(F.col("word").alias("printed"), F.col("n").alias("m"))
     undone = _exchanged(vocab.where(F.length("word") >= 3).where(lettered), "word", "read", "true")
     able = known.where(F.col("m") >= max(ratio, 2))  # n is at least 1
-    made = _exchanged(able, "printed", "true", "read").select("changed", "printed", "m", F.lit(2).alias("errors"), F.col("at").alias("at_2"), F.col("size").alias("size_2"))
-    whole = able.select(F.col("printed").alias("changed"), "printed", "m", F.lit(1).alias("errors"), F.lit(0).alias("at_2"), F.lit(0).alias("size_2"))
+    none = F.array().cast("array<string>")
+    made = _exchanged(able, "printed", "true", "read").select("changed", "printed", "m", F.lit(2).alias("errors"), F.col("at").alias("at_2"), F.col("size").alias("size_2"), F.array("rule").alias("rules_2"))
+    whole = able.select(F.col("printed").alias("changed"), "printed", "m", F.lit(1).alias("errors"), F.lit(0).alias("at_2"), F.lit(0).alias("size_2"), none.alias("rules_2"))
     apart = (F.col("at") + F.col("size") <= F.col("at_2")) | (F.col("at_2") + F.col("size_2") <= F.col("at"))
-    likely = undone.join(made.unionByName(whole), "changed").where((F.col("m") >= F.col("n") * ratio) & apart & (F.col("word") != F.col("printed"))).select("word", "n", "printed", "errors", "m")
+    likely = undone.join(made.unionByName(whole), "changed").where((F.col("m") >= F.col("n") * ratio) & apart & (F.col("word") != F.col("printed")))
+    likely = checkpointed(likely.select("word", "n", "printed", "errors", F.concat(F.array("rule"), "rules_2").alias("rules"), "m"))
+    chances = confusion_chances(vocab.where(lettered), likely)
 
     # Odd words the same, but forms of one skeleton meet; only words of letters and odd characters can have been words of letters.
     odd = vocab.where(F.col("word").rlike(r"[015689@$ſ]") & F.col("word").rlike(r"^[\p{L}\p{M}015689@$-]+$"))
     odd = checkpointed(odd.mapInPandas(single_out, "word string, n long, places int, unknown string, sure boolean"))
-    forms = odd.select("word", "n", "places", "sure", F.col("word").alias("form"), F.lit(0).alias("undone"), F.lit(0).alias("at"), F.lit(0).alias("size"))
-    forms = forms.unionByName(_exchanged(odd.select("word", "n", "places", "sure"), "word", "read", "true").withColumnRenamed("changed", "form").withColumn("undone", F.lit(1)))
-    met = known.select("printed", "m", F.col("printed").alias("between"), F.lit(0).alias("made"), F.lit(0).alias("at_2"), F.lit(0).alias("size_2"))
-    met = met.unionByName(_exchanged(known, "printed", "true", "read").withColumnsRenamed({"changed": "between", "at": "at_2", "size": "size_2"}).withColumn("made", F.lit(1)))
+    forms = odd.select("word", "n", "places", "sure", F.col("word").alias("form"), F.lit(0).alias("undone"), F.lit(0).alias("at"), F.lit(0).alias("size"), none.alias("rules"))
+    one = lambda df: df.withColumn("rules", F.array("rule")).drop("rule")
+    forms = forms.unionByName(one(_exchanged(odd.select("word", "n", "places", "sure"), "word", "read", "true")).withColumnRenamed("changed", "form").withColumn("undone", F.lit(1)))
+    met = known.select("printed", "m", F.col("printed").alias("between"), F.lit(0).alias("made"), F.lit(0).alias("at_2"), F.lit(0).alias("size_2"), none.alias("rules_2"))
+    met = met.unionByName(one(_exchanged(known, "printed", "true", "read")).withColumnsRenamed({"changed": "between", "at": "at_2", "size": "size_2", "rules": "rules_2"}).withColumn("made", F.lit(1)))
     met = forms.withColumn("skeleton", _skeleton(F.col("form"))).join(met.withColumn("skeleton", _skeleton(F.col("between"))), "skeleton").where("made <= undone").where(apart)
     met = met.where("substr(form, at_2, size_2) = substr(between, at_2, size_2)").where(_read_as(F.col("between"), F.col("form")))
-    mended = met.where(F.col("sure") | (F.col("m") >= F.col("n") * ratio) & (F.col("m") >= 2)).select("word", "n", "printed", F.expr("places + undone + made").alias("errors"), "m")
+    mended = met.where(F.col("sure") | (F.col("m") >= F.col("n") * ratio) & (F.col("m") >= 2)).select("word", "n", "printed", F.expr("places + undone + made").alias("errors"), F.concat("rules", "rules_2").alias("rules"), "m")
     # An unknown word stands for up to three odd characters; strings with more are codes, unless a known word is like them.
-    unknown = odd.where("sure AND places <= 3").select("word", "n", F.col("unknown").alias("printed"), F.col("places").alias("errors"), F.lit(0).cast("long").alias("m"))
+    unknown = odd.where("sure AND places <= 3").select("word", "n", F.col("unknown").alias("printed"), F.col("places").alias("errors"), none.alias("rules"), F.lit(0).cast("long").alias("m"))
 
-    likely = likely.unionByName(mended).unionByName(unknown).groupBy("word", "printed").agg(F.any_value("n").alias("n"), F.min("errors").alias("errors"), F.max("m").alias("m"))
-    readings = F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("rank"), "errors", "printed", "m")))
-    return likely.groupBy("word").agg(F.any_value("n").alias("n"), F.transform(readings, lambda r: F.struct(r["printed"].alias("printed"), r["errors"].alias("errors"), r["m"].alias("m"))).alias("readings"))
+    likely = likely.unionByName(mended).unionByName(unknown).groupBy("word", "printed").agg(F.any_value("n").alias("n"), F.min(F.struct("errors", "rules")).alias("how"), F.max("m").alias("m"))
+    readings = F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("rank"), F.col("how.errors").alias("errors"), "printed", "m", F.col("how.rules").alias("rules"))))
+    plain = F.transform(readings, lambda r: F.struct(r["printed"].alias("printed"), r["errors"].alias("errors"), r["rules"].alias("rules"), r["m"].alias("m")))
+    return likely.groupBy("word").agg(F.any_value("n").alias("n"), plain.alias("readings")), chances
 
 
-def decode(words: list[str], readings: dict[str, list[tuple[str, int, int]]], counts: dict[str, int], pairs: dict[tuple[str, str], int], total: int) -> list[str]:
+def decode(words: list[str], readings: dict[str, list[tuple[str, float, int]]], counts: dict[str, int], pairs: dict[tuple[str, str], int], total: int) -> list[str]:
     """The likeliest printed words of a line, by Viterbi over the candidates of each word.
 
-    ``readings`` has (printed, errors, n) of the suspicious words, ``counts`` their own n. What a word adds to
-    the counts by standing here itself is taken off.
+    ``readings`` has (printed, log of the channel's chance, n) of the suspicious words, ``counts`` their own n.
+    What a word adds to the counts by standing here itself is taken off. One step back is kept for each
+    candidate, so time and memory grow with the words.
     """
-    smooth, best = 2.0, [(0.0, [""])]
+    smooth, here = 2.0, frozenset(words)
+    steps: list[list[tuple[str, int]]] = []
+    best = [(0.0, "")]
     for word in words:
         options = readings.get(word, [])
         if not options or not _is_odd(word):
-            options = [(word, 0, max(counts.get(word, 50) - 1, 0)), *options]
-        fresh = []
-        for printed, errors, n in options:
+            options = [(word, 0.0, max(counts.get(word, 50) - 1, 0)), *options]
+        fresh, back = [], []
+        for printed, channel, n in options:
             own = 1 if printed == word else 0
             base = (n + 0.05) / total
-            top = None
-            for score, path in best:
-                seen = max(pairs.get((path[-1], printed), 0) - own * (path[-1] in words), 0)
-                before = max(counts.get(path[-1], 50), 1)
-                step = score + math.log((seen + smooth * base) / (before + smooth)) + errors * math.log(_ERROR)
-                if top is None or step > top[0]:
-                    top = (step, path)
-            fresh.append((top[0], [*top[1], printed]))
+            top, source = -math.inf, 0
+            for i, (score, last) in enumerate(best):
+                seen = max(pairs.get((last, printed), 0) - own * (last in here), 0)
+                before = max(counts.get(last, 50), 1)
+                step = score + math.log((seen + smooth * base) / (before + smooth)) + channel
+                if step > top:
+                    top, source = step, i
+            fresh.append((top, printed))
+            back.append((printed, source))
         best = fresh
-    return max(best, key=lambda x: x[0])[1][1:]
+        steps.append(back)
+    at = max(range(len(best)), key=lambda i: best[i][0])
+    out = []
+    for back in reversed(steps):
+        printed, at = back[at]
+        out.append(printed)
+    return out[::-1]
 
 
 def find_faults(pages: DataFrame, corpus: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -274,7 +333,8 @@ def find_faults(pages: DataFrame, corpus: DataFrame, head_words: int = HEAD_WORD
 
     Method: a noisy channel. Words of the whole corpus are counted; for each distinct word, confusions of
     characters, undone, give the words that may have been printed; where one is likelier, lines with the word
-    are decoded by Viterbi, with channel probabilities times the likelihood of word pairs in the corpus. A
+    are decoded by Viterbi, with the confusions' probabilities, estimated from the corpus, times the likelihood
+    of word pairs in it. A
     break is a fault if the unbroken word is as frequent as the hyphenated one. Words common enough to be
     among ``head_words`` and without a likelier reading are known to every task, so only rare and
     suspicious ones take part in joins; no result depends on that number.
@@ -282,7 +342,8 @@ def find_faults(pages: DataFrame, corpus: DataFrame, head_words: int = HEAD_WORD
     spark = pages.sparkSession
     counted = checkpointed(word_counts(corpus))
     vocab = counted.where("word IS NOT NULL").select("word", "n")
-    doubtful = checkpointed(suspects(vocab))
+    doubtful, chances = suspects(vocab)
+    doubtful = checkpointed(doubtful)
     head = vocab.orderBy(F.desc("n"), "word").limit(head_words).join(doubtful.select("word"), "word", "left_anti")
     clean = spark.sparkContext.broadcast(frozenset(head.select("word").toArrow().column(0).to_pylist()))
     total = spark.sparkContext.broadcast(vocab.agg(F.sum("n")).first()[0] or 1)
@@ -297,31 +358,37 @@ def find_faults(pages: DataFrame, corpus: DataFrame, head_words: int = HEAD_WORD
             yield pd.DataFrame(rows, columns=["field", "record_id", "line_no", "noise", "word", "other", "words"])
 
     rows = pages.where(F.length("text") > 0).select("field", "record_id", "text").mapInPandas(parse, "field string, record_id long, line_no long, noise string, word string, other string, words array<string>")
-    rows = checkpointed(rows.distinct())
+    rows = checkpointed(rows)
     where = ["field", "record_id", "line_no"]
-    plain = rows.where(F.col("noise").isin("header", "pageno")).select(*where, "noise", "word", F.lit(None).cast("string").alias("printed"))
+    plain = rows.where(F.col("noise").isin("header", "pageno")).select(*where, "noise", "word", F.lit(None).cast("string").alias("printed")).distinct()
 
-    breaks = rows.where(F.col("noise") == "hyphen")
+    breaks = rows.where(F.col("noise") == "hyphen").select(*where, "noise", "word", "other").distinct()
     joined = vocab.select("word", "n")
     hyphened = vocab.select(F.col("word").alias("other"), F.col("n").alias("n_other"))
     breaks = breaks.join(joined, "word", "left").join(hyphened, "other", "left").where(F.coalesce("n", F.lit(0)) >= F.coalesce("n_other", F.lit(0)))
     breaks = breaks.select(*where, "noise", "word", F.lit(None).cast("string").alias("printed"))
 
-    doubt = rows.where(F.col("noise") == "word").join(doubtful, "word")
-    lines = doubt.groupBy(*where).agg(
-        F.any_value("words").alias("words"), F.collect_list(F.struct("word", "n", "readings", "other")).alias("doubts")
-    )
+    # A line's words and its doubtful words meet in one group; repeated records add nothing.
+    doubt = rows.where(F.col("noise") == "word").select(*where, "word", "other").join(doubtful, "word")
+    doubt = doubt.select(*where, F.lit(None).cast("array<string>").alias("words"), F.struct("word", "n", "readings", "other").alias("doubt"))
+    whole = rows.where(F.col("noise") == "line").select(*where, "words").withColumn("doubt", F.lit(None).cast(doubt.schema["doubt"].dataType))
+    lines = whole.unionByName(doubt).groupBy(*where).agg(F.max("words").alias("words"), F.collect_set("doubt").alias("doubts")).where(F.size("doubts") > 0)
     lines = checkpointed(lines)
 
     # Each line with the counts of its own pairs.
     edges = lines.mapInPandas(_line_pairs, "field string, record_id long, line_no long, a string, b string").withColumn("pair", F.xxhash64("a", "b"))
     counts = edges.join(counted.where("pair IS NOT NULL").select("pair", "n"), "pair").groupBy(*where).agg(F.collect_list(F.struct("a", "b", "n")).alias("pairs"))
 
+    logs = {rule: math.log(p) for rule, p in chances.items()}
+
+    def channel(errors: int, rules) -> float:
+        return sum(logs[r] for r in rules) + (errors - len(rules)) * math.log(_ERROR)
+
     def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for field, record, line_no, words, doubts, pairs in frame[["field", "record_id", "line_no", "words", "doubts", "pairs"]].itertuples(index=False):
-                readings = {d["word"]: [(r["printed"], r["errors"], r["m"]) for r in d["readings"]] for d in doubts}
+                readings = {d["word"]: [(r["printed"], channel(r["errors"], r["rules"]), r["m"]) for r in d["readings"]] for d in doubts}
                 seen = {d["word"]: d["n"] for d in doubts}
                 table = {(p["a"], p["b"]): p["n"] for p in (pairs if pairs is not None else ())}
                 broken = {d["word"]: d["other"] for d in doubts}
@@ -355,7 +422,8 @@ def _error_line(word: str, printed: str, first_part: str | None) -> int:
 def page_rows(text: str, known=frozenset()) -> Iterator[tuple]:
     """(line_no, noise, word, other, words) of one record: headers, page numbers, breaks, and words to look up.
 
-    A broken word belongs to the line that it begins on, with its first part as ``other``.
+    A broken word belongs to the line that it begins on, with its first part as ``other``. A line with words to
+    look up has one row, of noise line, with all its words.
     """
     lines = text.split("\n")
     page = read_page(lines)
@@ -378,9 +446,11 @@ def page_rows(text: str, known=frozenset()) -> Iterator[tuple]:
                 carried, first = following.group(), piece.group()
                 yield i, "hyphen", first + carried, first + "-" + carried, None
                 words = _PY_WORD.findall(line[: piece.start()]) + [first + carried]
-        for k, word in enumerate(words):
-            if word not in known and (len(word) > 2 or _may_be_odd(word)):
-                yield i, "word", word, first if k == len(words) - 1 else None, words
+        unknown = [k for k, word in enumerate(words) if word not in known and (len(word) > 2 or _may_be_odd(word))]
+        for word, other in {(words[k], first if k == len(words) - 1 else None) for k in unknown}:
+            yield i, "word", word, other, None
+        if unknown:
+            yield i, "line", None, None, words
 
 
 def repair(pages: DataFrame, faults: DataFrame) -> DataFrame:
@@ -403,22 +473,29 @@ def repair(pages: DataFrame, faults: DataFrame) -> DataFrame:
 def mended(text: str, faults) -> str:
     gone = {f["line_no"] for f in faults if f["noise"] in ("header", "pageno")}
     breaks = {f["line_no"] for f in faults if f["noise"] == "hyphen"}
-    wrong = {f["word"]: f["printed"] for f in faults if f["noise"] == "misread"}
-    lines = [(i, line.strip()) for i, line in enumerate(text.split("\n"))]
-    out, joint, cut = "", "", False
-    for i, line in lines:
+    wrong = {(f["line_no"], f["word"]): f["printed"] for f in faults if f["noise"] == "misread"}
+    pieces: list[str] = []
+    starts, numbers = [], []  # where each line begins in the text put together, and its number
+    size, joint, cut, last = 0, "", False, ""
+    for i, line in enumerate(text.split("\n")):
+        line = line.strip()
         if i in gone:
             cut = True
             continue
         if not line:
-            joint = joint if cut and out and out[-1] not in ".!?\"”»" else "\n\n" if out else ""
+            joint = joint if cut and last and last not in ".!?\"”»" else "\n\n" if last else ""
             continue
-        out += joint + line
-        cut = False
-        if i in breaks:
-            out, joint = out[:-1], ""
-        elif line[-1] in _HYPHENS:
-            joint = ""
-        else:
-            joint = " "
-    return _PY_WORD.sub(lambda m: wrong.get(m.group(), m.group()), out)
+        starts.append(size + len(joint))
+        numbers.append(i)
+        last, cut = line[-1], False
+        kept = line[:-1] if i in breaks else line
+        pieces += [joint, kept]
+        size += len(joint) + len(kept)
+        joint = "" if i in breaks or last in _HYPHENS else " "
+
+    def printed(m: re.Match) -> str:
+        """A word as it was printed on its own line; a broken one may have been misread on the second."""
+        first, after = (numbers[bisect_right(starts, at) - 1] for at in (m.start(), m.end() - 1))
+        return wrong.get((first, m.group())) or wrong.get((after, m.group())) or m.group()
+
+    return _PY_WORD.sub(printed, "".join(pieces)) if wrong else "".join(pieces)

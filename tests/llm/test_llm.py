@@ -116,7 +116,8 @@ def test_faults(spark):
 
 def test_two_confusions(spark):
     rows = [("possessions", 9), ("p055e55i0ns", 1), ("modern", 30), ("rnodem", 3), ("chosen", 30), ("cb0sen", 1), ("tbe", 20), ("the", 90), ("zz0101015", 1)]
-    found = scans.suspects(spark.createDataFrame(rows, "word string, n long"))
+    found, chances = scans.suspects(spark.createDataFrame(rows, "word string, n long"))
+    assert chances["b>h"] > chances["rn>m"] > 0
     found = {r["word"]: {(x["printed"], x["errors"]) for x in r["readings"]} for r in found.collect()}
     assert found == {"p055e55i0ns": {("possessions", 6)}, "rnodem": {("modern", 2)}, "cb0sen": {("cbosen", 1), ("chosen", 2)}, "tbe": {("the", 1)}}
 
@@ -249,3 +250,25 @@ def test_compatible_pairs_are_all(spark):
         half = len(parsed) // 2
         across = {frozenset((a.text, b.text)) for a in parsed[:half] for b in parsed[half:] if names.compatible(a, b)}
         assert {frozenset((a.text, b.text)) for a, b in names.compatible_pairs(parsed[:half], parsed[half:])} == across
+
+
+def test_repair_is_by_line():
+    """A misreading of one line says nothing of the same word elsewhere."""
+    faults = [{"line_no": 0, "noise": "misread", "word": "bear", "printed": "hear"}]
+    assert scans.mended("I bear you.\nThe bear ran.", faults) == "I hear you. The bear ran."
+    broken = [{"line_no": 0, "noise": "hyphen", "word": "whispcred", "printed": None}, {"line_no": 1, "noise": "misread", "word": "whispcred", "printed": "whispered"}]
+    assert scans.mended("he whi-\nspcred.\n\nEnd whispcred", broken) == "he whispered.\n\nEnd whispcred"
+
+
+def test_chapter_headings_stay():
+    assert scans.read_page(["Chapter One", "It was the night.", "3"]).headers == []
+    assert scans.read_page(["Chapter One   3", "It was the night."]).headers == [0]
+    assert scans.read_page(["THE IDLE SIGNET", "It was the night."]).headers == [0]
+
+
+def test_long_lines_are_linear():
+    line = " ".join(f"w{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{i % 97}x" for i in range(100_000))
+    rows = list(scans.page_rows(line))
+    assert sum(len(r[4] or ()) for r in rows) == 100_000
+    words = rows[-1][4]
+    assert len(scans.decode(words, {words[0]: [("x", -1.0, 3)]}, {}, {}, 1000)) == 100_000
