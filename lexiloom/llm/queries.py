@@ -120,6 +120,13 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_containers(spark, sf_dir).where("container IS NOT NULL").groupBy("container").agg(F.sum("part_size").alias("used")).groupBy("used").agg(F.count(F.lit(1)).alias("containers"))
 
 
+def p8_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, and what the tokens would fill if none had room left."""
+    used = p8_containers(spark, sf_dir).where("container IS NOT NULL").agg(F.countDistinct("container").alias("containers"), F.coalesce(F.sum("part_size"), F.lit(0)).alias("tokens"))
+    least = F.ceil(F.col("tokens") / CAPACITY).cast("bigint")
+    return used.select("containers", least.alias("least"), F.round(F.col("tokens") / (F.col("containers") * CAPACITY), 4).alias("filled"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -132,7 +139,7 @@ def p9_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeated_sentences(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-_QUERIES = [p1_found, p1_canonical, p2_found, p2_linked, p3_found, p3_pieces, p5_found, p5_repaired, p6_found, p6_neighbours, p6_recall, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_shared, p9_without_repeats]
+_QUERIES = [p1_found, p1_canonical, p2_found, p2_linked, p3_found, p3_pieces, p5_found, p5_repaired, p6_found, p6_neighbours, p6_recall, p7_ids, p7_decoded, p8_containers, p8_fill, p8_bound, p9_found, p9_shared, p9_without_repeats]
 _UNIT = """WITH v AS (SELECT DISTINCT vec_id, coalesce(model, '') || ':' || len(vectors) AS model, CAST(vectors AS DOUBLE[]) AS v FROM vectors
         WHERE vec_id IS NOT NULL AND len(vectors) = dimension AND len(vectors) > 0
         AND len(list_filter(vectors, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vectors, lambda x: x <> 0)) > 0)"""

@@ -165,7 +165,10 @@ def test_packing(spark):
     used = out.dropna().groupby("container").part_size.sum()
     assert used.max() <= 100 and len(used) <= 1.03 * used.sum() / 100 + 1
     assert (out.groupby("id").size()[[i for i, n in rows if (n or 0) <= 100]] == 1).all()
-    assert packing.complete(60, {60: 1, 40: 1, 25: 2}, 100) == (40,)
+    assert packing._Room({60: 1, 40: 1, 25: 2}, 60, 100).fullest() == ((40, 1),)
+    whole = packing.pack(spark.createDataFrame([(1, 300), (2, 100), (2, 100), (3, 50)], "id long, n int"), "id", "n", 100, per_salt=1).toPandas()
+    assert sorted(whole.part_size) == [50, 100, 100, 100, 100, 100] and sorted(whole.container) == [0, 1, 2, 3, 4, 5] and (whole.part_start == whole.part * 100).all()
+    assert packing.pack(spark.createDataFrame([], "id long, n int"), "id", "n", 100).collect() == []
 
 
 def test_shared_spans(spark):
@@ -272,3 +275,47 @@ def test_long_lines_are_linear():
     assert sum(len(r[4] or ()) for r in rows) == 100_000
     words = rows[-1][4]
     assert len(scans.decode(words, {words[0]: [("x", -1.0, 3)]}, {}, {}, 1000)) == 100_000
+
+
+def _fewest(items, capacity):
+    """The least number of containers, by trying them all."""
+    best, items = len(items), sorted(items, reverse=True)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(items):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= items[i]:
+                rest = list(rooms)
+                rest.remove(room)
+                put(i + 1, [*rest, room - items[i]])
+        put(i + 1, [*rooms, capacity - items[i]])
+
+    put(0, [])
+    return best
+
+
+def test_fill_plan_is_exact_when_asked():
+    rng = random.Random(9)
+    for _ in range(60):
+        items = [rng.randint(15, 70) for _ in range(rng.randint(1, 9))]
+        histogram = {s: items.count(s) for s in items}
+        for plan in (packing.fill_plan(histogram, 100, None), packing.fill_plan(histogram, 100)):
+            held = {s: sum(n * dict(f).get(s, 0) for f, n in plan.plan) for s in histogram}
+            assert held == histogram and all(sum(s * n for s, n in f) <= 100 for f, _ in plan.plan)
+            assert plan.least <= _fewest(items, 100) <= plan.containers == sum(n for _, n in plan.plan)
+        assert packing.fill_plan(histogram, 100, None).containers == _fewest(items, 100)
+
+
+def test_fullest_filling_by_brute_force():
+    rng = random.Random(10)
+    for _ in range(60):
+        counts = {rng.randint(3, 60): rng.randint(1, 3) for _ in range(7)}
+        largest = max(counts)
+        others = [s for s, n in counts.items() for _ in range(n - (s == largest))]
+        totals = {sum(c) for k in range(len(others) + 1) for c in itertools.combinations(others, k) if sum(c) <= 100 - largest}
+        assert sum(s * n for s, n in packing._Room(counts, largest, 100).fullest()) == max(totals)
