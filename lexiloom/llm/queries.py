@@ -153,6 +153,11 @@ _SQL = {
     "p3_found": """SELECT DISTINCT 'summarize_requests.passage' AS field, request_id AS item_id FROM summarize_requests WHERE length(passage) > max_chars AND max_chars >= 1
         UNION SELECT DISTINCT 'text_cleaner.chunk', chunk_id FROM text_cleaner WHERE length(text) > max_chars AND max_chars >= 1""",
     "p7_decoded": "SELECT doc_id, TRUE AS same FROM documents",
+    "p9_without_repeats": r"""WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?。！？\n]*[.!?。！？]+[\"”»'']*\s*|[^.!?。！？\n]+\n*|\n+') AS s FROM documents WHERE text IS NOT NULL),
+        r AS (SELECT doc_id, i, array_to_string(s[i:i + 2], '') AS t FROM (SELECT doc_id, s, unnest(range(1, len(s) - 1)) AS i FROM s WHERE len(s) >= 3)),
+        f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS nth FROM r WHERE length(t) >= 120), gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM f WHERE nth > 1),
+        p AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM s), k AS (SELECT p.doc_id, string_agg(x, '' ORDER BY p.i) FILTER (WHERE gone.i IS NULL) AS kept, count(gone.i) AS n FROM p LEFT JOIN gone ON p.doc_id = gone.doc_id AND p.i = gone.i GROUP BY p.doc_id)
+        SELECT doc_id, CASE WHEN n > 0 THEN coalesce(kept, '') ELSE text END AS text, coalesce(n, 0) AS removed FROM documents LEFT JOIN k USING (doc_id)""",
 }
 
 

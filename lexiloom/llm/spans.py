@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -103,8 +106,9 @@ def shared_spans(docs: DataFrame, key: str, text: str, length: int = 120, anchor
     2. Of the anchors that remain, a bitmap of bounded size (2**max_bloom_bits bits at most) goes to the
        second pass over the texts, which yields the surroundings of each such anchor; an exact semi-join
        removes what the bitmap let through by chance.
-    3. Surroundings that two keys share settle all their substrings at once. For the others, at the ends of
-       copied passages, each substring of ``length`` is hashed (96 bits) and counted by first and last key.
+    3. Surroundings that two keys share settle all their substrings at once. The others, at the ends of copied
+       passages, are compared with one representative of their anchor; only where two keys agree beyond what
+       that tells, each substring of ``length`` is hashed (96 bits) and counted by first and last key.
     4. The stretches found are united on run bitmaps.
 
     Repetition within one key is no case. Null texts, texts under ``length`` and null keys give no rows; whole
@@ -156,27 +160,91 @@ def shared_spans(docs: DataFrame, key: str, text: str, length: int = 120, anchor
     seen = named.mapInArrow(second_pass, f"anchor long, doc {kind}, start long, lead int, context string")
     seen = seen.join(shared, "anchor", "left_semi").withColumn("class", F.xxhash64("context", "lead"))
     seen = checkpointed(seen)
-    classes = seen.groupBy("anchor", "class").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.any_value("context").alias("context"))
+    classes = seen.groupBy("anchor", "class").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.any_value("context").alias("context"), F.any_value("lead").alias("lead"))
+    classes = classes.withColumn("several", F.col("lo") != F.col("hi"))
 
-    # Surroundings shared as a whole, and the substrings of those that aren't.
-    settled = classes.where("lo <> hi").select("anchor", "class", F.array(F.struct(F.lit(0).alias("a"), F.length("context").alias("b"))).alias("parts"))
-    unsettled = classes.where("lo = hi").select("anchor").distinct()
-    window = F.substring("context", F.col("o") + 1, F.lit(length))
-    windows = (
-        classes.join(unsettled, "anchor", "left_semi")
-        .where(F.length("context") >= length)
-        .select("anchor", "class", "lo", "hi", "context", F.explode(F.sequence(F.lit(0), F.length("context") - length)).alias("o"))
-        .select("anchor", "class", "lo", "hi", "o", F.xxhash64(window).alias("h"), F.hash(window).alias("g"))
-    )
-    common = windows.groupBy("h", "g").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first <> last").select("h", "g")
-    at_ends = windows.where("lo = hi").join(common, ["h", "g"], "left_semi").groupBy("anchor", "class").agg(F.collect_set(F.struct(F.col("o").alias("a"), (F.col("o") + length).alias("b"))).alias("parts"))
-    parts = settled.unionByName(at_ends)
+    # Surroundings shared as a whole, and what is shared of those that aren't.
+    settled = classes.where("several").select("anchor", "class", F.array(F.struct(F.lit(0).alias("a"), F.length("context").alias("b"))).alias("parts"))
+    stretches = _partly_shared(classes, length, anchor)
+    parts = settled.unionByName(stretches.groupBy("anchor", "class").agg(F.collect_set(F.struct("a", "b")).alias("parts")))
     stretches = seen.select("anchor", "class", "doc", "start").join(parts, ["anchor", "class"]).select("doc", "start", F.explode("parts").alias("p"))
     stretches = stretches.select("doc", (F.col("start") + F.col("p.a")).alias("span_start"), (F.col("start") + F.col("p.b")).alias("span_end"))
     united = continuous_periods(checkpointed(stretches), ["doc"], "span_start", "span_end").where("kind = 'period'")
     return united.select(F.col("doc").alias(key), "span_start", "span_end")
 
 
+def _common(a: str, b: str) -> int:
+    """How many characters two strings begin with alike."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle)
+    return low
+
+
+def _partly_shared(classes: DataFrame, length: int, anchor: int) -> DataFrame:
+    """(anchor, class, a, b): stretches of the surroundings of one key only that another key has too.
+
+    ``classes`` has (anchor, class, lo, hi, several, context, lead): distinct surroundings of an anchor, which
+    begins ``lead`` characters in, with their first and last key. Each is compared with one representative
+    of the anchor, of several keys if there is one: what both have around the anchor is shared if it is long
+    enough. Beyond that, on the left or on the right, something can be shared only with surroundings that
+    leave the representative at the same place by the same character; where two keys do, all substrings of
+    ``length`` that reach there are hashed and counted. Anchors with different surroundings in the
+    representative's own and only key have all their substrings hashed.
+    """
+    around = length - anchor
+    open_ = classes.where("NOT several").select("anchor").distinct()
+    classes = classes.join(open_, "anchor", "left_semi")
+    chosen = classes.groupBy("anchor").agg(F.max(F.struct("several", "class", "lo", "lead", "context")).alias("r"))
+    chosen = chosen.select(F.col("anchor").alias("r_anchor"), *(F.col(f"r.{c}").alias(f"r_{c}") for c in ("several", "class", "lo", "lead", "context")))
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            left, right = [], []
+            for text, lead, other, other_lead in zip(frame["context"], frame["lead"], frame["r_context"], frame["r_lead"], strict=True):
+                if text[lead : lead + anchor] != other[other_lead : other_lead + anchor]:  # a chance hit of hashes
+                    left.append(-1)
+                    right.append(-1)
+                else:
+                    left.append(_common(text[:lead][::-1], other[:other_lead][::-1]))
+                    right.append(_common(text[lead + anchor :], other[other_lead + anchor :]))
+            yield frame.drop(columns="r_context").assign(left=left, right=right)
+
+    fields = "anchor long, class long, lo {0}, hi {0}, several boolean, context string, lead int, r_several boolean, r_class long, r_lo {0}, r_lead int".format(classes.schema["lo"].dataType.simpleString())
+    pairs = classes.join(chosen, F.col("anchor") == F.col("r_anchor")).drop("r_anchor")
+    pairs = checkpointed(pairs.select(*(f.split()[0] for f in fields.split(", ")), "r_context").mapInPandas(compare, fields + ", left int, right int"))
+    other = F.col("class") != F.col("r_class")
+    entangled = pairs.where(other & ~F.col("several") & ~F.col("r_several") & (F.col("lo") == F.col("r_lo"))).select("anchor").distinct()
+    plain = pairs.where(other).join(entangled, "anchor", "left_anti")
+
+    meets = plain.where(F.col("left") + F.col("right") >= around)
+    with_chosen = meets.where("NOT several").select("anchor", "class", (F.col("lead") - F.col("left")).alias("a"), (F.col("lead") + anchor + F.col("right")).alias("b"))
+    of_chosen = meets.where("NOT r_several").groupBy("anchor", F.col("r_class").alias("class")).agg(F.max(F.col("r_lead")).alias("lead"), F.max("left").alias("left"), F.max("right").alias("right"))
+    of_chosen = of_chosen.select("anchor", "class", (F.col("lead") - F.col("left")).alias("a"), (F.col("lead") + anchor + F.col("right")).alias("b"))
+
+    # Where surroundings leave the representative: the anchor with all up to the first different character.
+    to_left = F.when(F.col("left") < F.col("lead"), F.struct(F.lit(0).alias("side"), F.xxhash64(F.substring("context", F.col("lead") - F.col("left"), F.col("left") + 1 + anchor)).alias("piece")))
+    to_right = F.when(F.col("lead") + anchor + F.col("right") < F.length("context"), F.struct(F.lit(1).alias("side"), F.xxhash64(F.substring("context", F.col("lead") + 1, F.col("right") + 1 + anchor)).alias("piece")))
+    leaving = plain.select("anchor", "class", "lo", "hi", "several", F.explode(F.filter(F.array(to_left, to_right), lambda p: p.isNotNull())).alias("p")).select("anchor", "class", "lo", "hi", "several", "p.*")
+    forks = leaving.groupBy("anchor", "side", "piece").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.bool_and("several").alias("known")).where("first <> last AND NOT known").select("anchor", "side", "piece")
+    forked = leaving.join(forks, ["anchor", "side", "piece"], "left_semi").groupBy("anchor", "class").agg(F.max((F.col("side") == 0).cast("int")).alias("on_left"), F.max((F.col("side") == 1).cast("int")).alias("on_right"))
+
+    columns = ["anchor", "class", "lo", "hi", "several", "context", "lead", "left", "right"]
+    whole = pairs.join(entangled, "anchor", "left_semi").select(*columns, F.lit(1).alias("on_left"), F.lit(1).alias("on_right")).withColumns({"left": F.lit(-1), "right": F.lit(-1)})
+    looked = plain.select(*columns).join(forked, ["anchor", "class"]).unionByName(whole).where(F.length("context") >= length)
+    # A substring begins ``lead - o`` characters before the anchor and ends ``around`` less that after it.
+    beyond = ((F.col("on_left") == 1) & (F.col("lead") - F.col("o") > F.col("left"))) | ((F.col("on_right") == 1) & (around - F.col("lead") + F.col("o") > F.col("right")))
+    window = F.substring("context", F.col("o") + 1, F.lit(length))
+    windows = looked.withColumn("o", F.explode(F.sequence(F.lit(0), F.length("context") - length))).where(beyond)
+    windows = windows.select("anchor", "class", "lo", "hi", "several", "o", F.xxhash64(window).alias("h"), F.hash(window).alias("g"))
+    common = windows.groupBy("h", "g").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first <> last").select("h", "g")
+    found = windows.where("NOT several").join(common, ["h", "g"], "left_semi").select("anchor", "class", F.col("o").alias("a"), (F.col("o") + length).alias("b"))
+    return with_chosen.unionByName(of_chosen).unionByName(found)
+
+
 def shared_amount(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
     """(key, n_chars, n_spans, shared_chars): how much of each row stands elsewhere; zeros for null texts and none."""
     spans = shared_spans(docs, key, text, **how)
@@ -186,13 +254,8 @@ def shared_amount(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
     return rows.join(per, F.col(key) == F.col("__key"), "left").select(key, "n_chars", zero(F.col("n")).alias("n_spans"), zero(F.col("c")).alias("shared_chars"))
 
 
-#: Sentences end after a full stop, question or exclamation mark (and a closing quote), or at a line end.
-_SENTENCE = r"[^.!?。！？\n]*[.!?。！？]+[\"”»']*\s*|[^.!?。！？\n]+\n*|\n+"
-
-
-def sentences(text: Column) -> Column:
-    """The sentences of a text, which put together are the text again."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0)), F.array().cast("array<string>"))
+#: Sentences end after a full stop, question or exclamation mark (and a closing quote), or at a line end; put together they are the text again.
+_SENTENCES = re.compile(r"[^.!?。！？\n]*[.!?。！？]+[\"”»']*\s*|[^.!?。！？\n]+\n*|\n+")
 
 
 def remove_repeated_sentences(docs: DataFrame, key: str, text: str, run: int = 3, min_chars: int = 120) -> DataFrame:
@@ -202,14 +265,41 @@ def remove_repeated_sentences(docs: DataFrame, key: str, text: str, run: int = 3
     globally; the copy with the least (key, place) is the first and stays, within one text too. Keys must be
     unique. Null texts stay null with removed 0; texts of fewer sentences than ``run`` stay as they are.
     """
-    rows = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text"), sentences(F.col(f"`{text}`")).alias("s"))
-    starts = F.sequence(F.lit(0), F.size("s") - run)
-    runs = rows.where(F.size("s") >= run).select("doc", "s", F.explode(starts).alias("i"))
-    joined = F.array_join(F.slice("s", F.col("i") + 1, run), "")
-    runs = runs.select("doc", "i", F.length(joined).alias("n"), F.xxhash64(joined).alias("h"), F.hash(joined).alias("g")).where(F.col("n") >= min_chars)
+    rows = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            docs_, places, hashes = [], [], []
+            for doc, body in zip(frame["doc"], frame["text"], strict=True):
+                parts = _SENTENCES.findall(body)
+                for i in range(len(parts) - run + 1):
+                    joined = "".join(parts[i : i + run])
+                    if len(joined) >= min_chars:
+                        docs_.append(doc)
+                        places.append(i)
+                        hashes.append(hashlib.blake2b(joined.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+            both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"doc": docs_, "i": places, "h": both[:, 0], "g": both[:, 1]})
+
+    runs = rows.where(F.col("text").isNotNull()).mapInPandas(hashed, f"doc {kind}, i long, h long, g long")
     first = runs.groupBy("h", "g").agg(F.min(F.struct("doc", "i")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     later = runs.join(first, ["h", "g"]).where((F.col("doc") != F.col("first.doc")) | (F.col("i") != F.col("first.i")))
-    gone = later.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("i"), F.col("i") + run - 1)))).alias("gone"))
-    both = rows.join(gone.withColumnRenamed("doc", "__doc"), F.col("doc") == F.col("__doc"), "left")
-    kept = F.array_join(F.filter("s", lambda x, i: ~F.array_contains("gone", i)), "")
-    return both.select(F.col("doc").alias(key), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("removed"))
+    starts = later.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("i").alias("starts"))
+    both = rows.join(starts, F.col("doc") == F.col("__doc"), "left").drop("__doc")
+
+    def drop(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts, removed = [], []
+            for body, at in zip(frame["text"], frame["starts"], strict=True):
+                parts = _SENTENCES.findall(body)
+                gone = np.zeros(len(parts), bool)
+                for k in range(run):
+                    gone[np.asarray(at) + k] = True
+                texts.append("".join(np.asarray(parts, object)[~gone]))
+                removed.append(int(gone.sum()))
+            yield pd.DataFrame({"doc": frame["doc"], "text": texts, "removed": removed})
+
+    cut = both.where(F.col("starts").isNotNull()).select("doc", "text", "starts").mapInPandas(drop, f"doc {kind}, text string, removed long")
+    kept = both.where(F.col("starts").isNull()).select("doc", "text", F.lit(0).cast("bigint").alias("removed"))
+    return kept.unionByName(cut).select(F.col("doc").alias(key), "text", "removed")
