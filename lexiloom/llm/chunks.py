@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +17,11 @@ _BOUNDARIES = [
     re.compile(r"\n+"),
     re.compile(r"\s+"),
 ]
-_MARKS = re.compile(r"[̀-ͯ‍︎️]")
+
+
+def _joined(ch: str) -> bool:
+    """Whether a character belongs to the one before it: a mark of any script, a joiner, a variation selector."""
+    return unicodedata.category(ch)[0] == "M" or ch == "\u200d"
 
 
 def _cut(text: str, a: int, b: int, limit: int) -> int:
@@ -30,7 +35,7 @@ def _cut(text: str, a: int, b: int, limit: int) -> int:
     ends = [m.end() for kind in _BOUNDARIES for m in kind.finditer(text, a, b) if a < m.end() < b]
     if ends:
         return min(ends, key=lambda e: (abs(e - middle), e))
-    while middle < high and _MARKS.match(text, middle):
+    while middle < high and _joined(text[middle]):
         middle += 1
     return middle
 

@@ -15,11 +15,17 @@ from lexiloom.session import checkpointed
 
 # Letters of other scripts drawn as Latin ones, and what they are drawn as.
 _DRAWN_AS = {
-    "АВЕЅІЈКМНОРСТХУ": "ABESIJKMHOPCTXY",
-    "аеоѕіјрсхуԁԛԝһ": "aeosijpcxydqwh",
-    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ": "ABEZHIKMNOPTYXC",
+    "АВЕЅІЈКМНОРСТХУӀӔԌԜ": "ABESIJKMHOPCTXYIÆGW",
+    "аеоѕіјрсхуԁԛԝһӏѵѡӕүց": "aeosijpcxydqwhlvwæyg",
+    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ": "ABEZHIKMNOPTYXCJ",
     "αοινρϲϳ": "aoivpcj",
-    "ɑɡ": "ag",
+    "ɑɡı": "agı",
+    "ՕՍՏԼ": "OUSL",
+    "օոսհ": "onuh",
+    "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏙᏚᏞᏟᏢᏦ": "DRTAJEWMHYGZRWVSLCPK",
+    "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ": "BPDTGKJCZFMNLSRVHWXYAEIOU",
+    "ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ": "ABEHIKMNOPCTYX",
+    "ⲟⲣⲥ": "opc",
 }
 # Hyphens drawn alike (not dashes or the minus sign).
 _HYPHENS = "‐‑﹣－"
@@ -37,7 +43,11 @@ def _decomposition(ch: str) -> str | None:
     if not d:
         return None
     tag, *codes = d.split() if d[0] == "<" else ("", *d.split())
-    if tag and (tag not in _SAME or tag == "<compat>" and not "ﬀ" <= ch <= "ﭏ"):
+    if tag == "<compat>":  # ligatures, digraphs and Roman numerals: letters that stand for several, or a numeral for one
+        out = "".join(chr(int(c, 16)) for c in codes)
+        if not ("ﬀ" <= ch <= "ﭏ" or "Ⅰ" <= ch <= "ⅿ" or ch == "µ" or len(out) > 1 and ch.isalpha() and out.isalpha()):
+            return None
+    elif tag and tag not in _SAME:
         return None
     return "".join(chr(int(c, 16)) for c in codes)
 
@@ -196,6 +206,7 @@ def canonical(texts: DataFrame, key: str, text: str) -> DataFrame:
     would be shuffled at many times the text's size.
 
     Case, letters, accents, digits, marks and words stay different, as do long s and letters in another font.
+    Letters of Cyrillic, Greek, Armenian, Cherokee, Lisu and Coptic that are drawn as Latin ones are those.
     Null texts stay null; empty ones, and those of blanks and invisible characters only, become ''. Repeated
     rows are kept; other columns are ignored. Texts are whole, of any length.
     """
@@ -242,3 +253,16 @@ def alike_pairs(texts: DataFrame, key: str, text: str) -> DataFrame:
     same = (F.col("a.form") == F.col("b.form")) & (F.col("a.form2") == F.col("b.form2"))
     pairs = a.join(b, same & (F.col("a.id") < F.col("b.id")) & (F.col("a.raw") != F.col("b.raw")))
     return pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+
+
+def alike_classes(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(form, id, n_links): each key whose text looks like a different one, its form's hash, and how many keys it is linked to.
+
+    One row per key stands for all pairs of ``alike_pairs``: within a form, all keys of different texts.
+    """
+    forms = canonical(texts, key, text).where(F.col(key).isNotNull() & (F.length("canonical") > 0))
+    hashed = checkpointed(forms.select(F.col(key).alias("id"), F.sha2("canonical", 256).alias("form"), "raw").distinct())
+    texts_of = hashed.groupBy("form", "raw").agg(F.count(F.lit(1)).alias("same"))
+    sizes = texts_of.groupBy("form").agg(F.sum("same").alias("all"), F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    links = texts_of.join(sizes, "form").select("form", "raw", (F.col("all") - F.col("same")).alias("n_links"))
+    return hashed.join(links, ["form", "raw"]).groupBy("form", "id").agg(F.sum("n_links").alias("n_links"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.llm import chunks, lookalikes, names, neighbours, packing, scans, spans, tokens
@@ -28,6 +29,12 @@ def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, forms)
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record that looks like another, its class and the number of its links."""
+    rows = [lookalikes.alike_classes(read_table(spark, sf_dir, t), k, c).select(F.lit(f"{t}.{c}").alias("field"), F.col("id").alias("item_id"), F.substring("form", 1, 16).alias("class"), "n_links") for t, k, c in _ALIKE_FIELDS]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def p2_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities, mentions = read_table(spark, sf_dir, "entities"), read_table(spark, sf_dir, "coreference")
     named = entities.select(F.col("project_id").alias("scope"), F.col("body_value").alias("name"), F.coalesce("entity_type", F.lit("PER")).alias("kind"))
@@ -50,6 +57,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).where((F.col("n_pieces") > 1) & (F.col("piece_no") == 0)).select("field", "item_id").distinct()
 
 
+def p3_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item: do its pieces fit, cover the text in order, and overlap by no more than asked."""
+    pieces = _pieces(spark, sf_dir).where("n_pieces > 1").distinct()
+    fields = [("summarize_requests", "request_id", "passage", "summarize_requests.passage"), ("text_cleaner", "chunk_id", "text", "text_cleaner.chunk")]
+    items = reduce(DataFrame.unionByName, [read_table(spark, sf_dir, t).select(F.lit(f).alias("field"), F.col(k).alias("item_id"), F.col(c).alias("whole"), "max_chars", F.greatest(F.coalesce("overlap_chars", F.lit(0)), F.lit(0)).alias("overlap")) for t, k, c, f in fields]).distinct()
+    after = W.partitionBy("field", "item_id").orderBy("piece_no")
+    both = pieces.join(items, ["field", "item_id"]).withColumn("before", F.lag("piece_end").over(after))
+    fits = (F.length("piece") <= F.col("max_chars")) & (F.expr("substring(whole, int(piece_start) + 1, int(piece_end - piece_start))") == F.col("piece"))
+    joins = F.when(F.col("before").isNull(), F.col("piece_start") == 0).otherwise((F.col("piece_start") <= F.col("before")) & (F.col("piece_end") > F.col("before")) & (F.col("before") - F.col("piece_start") <= F.col("overlap")))
+    checked = both.groupBy("field", "item_id").agg(F.bool_and(fits).alias("fits"), (F.bool_and(joins) & (F.max("piece_end") == F.max(F.length("whole")))).alias("covers"), F.any_value(F.col("overlap") > F.floor(F.col("max_chars") / 2)).alias("overlap_cut"))
+    return checked
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).select("field", "item_id", "piece_no", "n_pieces", "piece_start", "piece_end", "piece")
 
@@ -103,6 +123,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p7_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids as in p7_ids, with so few words shipped to the tasks that most texts have rarer ones, as in a corpus of many words."""
+    return tokens.encode(read_table(spark, sf_dir, "documents"), "doc_id", "text", head_words=4096)
+
+
 def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each document comes back from its ids."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("original"))
@@ -139,7 +164,7 @@ def p9_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeated_sentences(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-_QUERIES = [p1_found, p1_canonical, p2_found, p2_linked, p3_found, p3_pieces, p5_found, p5_repaired, p6_found, p6_neighbours, p6_recall, p7_ids, p7_decoded, p8_containers, p8_fill, p8_bound, p9_found, p9_shared, p9_without_repeats]
+_QUERIES = [p1_found, p1_canonical, p1_classes, p2_found, p2_linked, p3_found, p3_cover, p3_pieces, p5_found, p5_repaired, p6_found, p6_neighbours, p6_recall, p7_ids, p7_rare_words, p7_decoded, p8_containers, p8_fill, p8_bound, p9_found, p9_shared, p9_without_repeats]
 _UNIT = """WITH v AS (SELECT DISTINCT vec_id, coalesce(model, '') || ':' || len(vectors) AS model, CAST(vectors AS DOUBLE[]) AS v FROM vectors
         WHERE vec_id IS NOT NULL AND len(vectors) = dimension AND len(vectors) > 0
         AND len(list_filter(vectors, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vectors, lambda x: x <> 0)) > 0)"""
@@ -152,6 +177,8 @@ _SQL = {
     "p6_neighbours": _UNIT + ", q AS (SELECT *, 10 AS k FROM v WHERE vec_id % 50 = 0)" + _NEAR + " SELECT vec_id, rank, other AS other_vec_id, round(cosine, 4) AS cosine FROM near WHERE rank <= k",
     "p3_found": """SELECT DISTINCT 'summarize_requests.passage' AS field, request_id AS item_id FROM summarize_requests WHERE length(passage) > max_chars AND max_chars >= 1
         UNION SELECT DISTINCT 'text_cleaner.chunk', chunk_id FROM text_cleaner WHERE length(text) > max_chars AND max_chars >= 1""",
+    "p3_cover": """SELECT DISTINCT 'summarize_requests.passage' AS field, request_id AS item_id, TRUE AS fits, TRUE AS covers, coalesce(overlap_chars, 0) > max_chars // 2 AS overlap_cut FROM summarize_requests WHERE length(passage) > max_chars AND max_chars >= 1
+        UNION SELECT DISTINCT 'text_cleaner.chunk', chunk_id, TRUE, TRUE, coalesce(overlap_chars, 0) > max_chars // 2 FROM text_cleaner WHERE length(text) > max_chars AND max_chars >= 1""",
     "p7_decoded": "SELECT doc_id, TRUE AS same FROM documents",
     "p9_without_repeats": r"""WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?。！？\n]*[.!?。！？]+[\"”»'']*\s*|[^.!?。！？\n]+\n*|\n+') AS s FROM documents WHERE text IS NOT NULL),
         r AS (SELECT doc_id, i, array_to_string(s[i:i + 2], '') AS t FROM (SELECT doc_id, s, unnest(range(1, len(s) - 1)) AS i FROM s WHERE len(s) >= 3)),

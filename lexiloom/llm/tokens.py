@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.session import checkpointed
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Fixed value: the split pattern that belongs to the vocabulary; (?U) makes \s cover Unicode's white space in Java too.
@@ -67,24 +69,28 @@ def encode(docs: DataFrame, key: str, text: str, vocabulary_path: str = VOCABULA
 
     Method: words are split in the JVM; each distinct word is encoded once; ids come back to the words by
     position. Word counts are steep, so the table's head, at most ``head_words`` words and so of bounded
-    size, is shipped to every task and looked up there; only the rows that hold a rarer word take part in
-    one shuffle join with the rest of the table, in which no word is frequent. One row comes out for each
-    row that goes in, repeated keys too; null and empty texts have the ids []; other columns are ignored.
-    ``vocabulary_path`` is read by the driver. Java's character classes stop at Unicode 13.
+    size, is shipped to every task and looked up there; a rarer word leaves a gap. If the table has a tail,
+    rows are written once with their gaps, the distinct words of the gaps are encoded, joined by word and
+    spliced in by position. One row comes out for each row that goes in, repeated keys too; null and empty
+    texts have the ids []; other columns are ignored. ``vocabulary_path`` is read by the driver.
+
+    Texts with a code point that the JVM's Unicode tables don't have yet, which they can't tell to be a letter
+    or not, are split by newer tables in the task.
     """
     spark = docs.sparkSession
     with open(vocabulary_path, "rb") as f:
         vocabulary = f.read()
     docs = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
-    table = word_table(docs, "__text", vocabulary)
+    known_to_jvm = ~F.coalesce(F.col("__text").rlike(r"\p{Cn}"), F.lit(False))
+    table = word_table(docs.where(known_to_jvm), "__text", vocabulary)
     head_rows = table.orderBy(F.desc("n"), "word").limit(head_words + 1).select("word", "ids").toArrow()
     whole = head_rows.num_rows <= head_words
-    head_rows = head_rows.slice(0, head_words).combine_chunks()
-    head = spark.sparkContext.broadcast(head_rows)
+    head = spark.sparkContext.broadcast(head_rows.slice(0, head_words).combine_chunks())
+    shipped = spark.sparkContext.broadcast(vocabulary)
     kind = docs.schema["__key"].dataType.simpleString()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value
+        known, exact = head.value, None
         words, lists = (known[c].combine_chunks() if known.num_rows else pa.array([], t) for c, t in (("word", pa.string()), ("ids", pa.list_(pa.int32()))))
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
@@ -94,43 +100,61 @@ def encode(docs: DataFrame, key: str, text: str, vocabulary_path: str = VOCABULA
         for batch in batches:
             flat, offsets = _plain(batch["words"])
             found = pc.fill_null(pc.index_in(flat, value_set=words), len(words)).to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, np.int64)
-            missing = np.append(0, np.cumsum(found == len(words)))[offsets]
-            rest = pa.array(np.diff(missing) > 0)
+            gap = np.flatnonzero(found == len(words))
+            ends = np.append(0, np.cumsum(lengths[found]))
+            row = np.searchsorted(offsets, gap, "right") - 1
+            gaps = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=len(batch)))).astype(np.int32))
             ids = _gather(found, starts, lengths, values, offsets)
-            yield pa.RecordBatch.from_arrays([batch["__key"], ids, rest], ["__key", "ids", "rest"])
-
-    looked_up = docs.select("__key", split_words(F.col("__text")).alias("words")).mapInArrow(look_up, f"__key {kind}, ids array<int>, rest boolean")
+            if batch["odd"].null_count < len(batch):
+                exact = exact or _exact(shipped.value)
+                ids = pa.array([i if t is None else exact(t) for i, t in zip(ids.to_pylist(), batch["odd"].to_pylist(), strict=True)], pa.list_(pa.int32()))
+            rare = pa.ListArray.from_arrays(gaps, flat.take(pa.array(gap)))
+            at = pa.ListArray.from_arrays(gaps, pa.array((ends[gap] - ends[offsets[row]]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch["__key"], batch["h"], batch["g"], ids, rare, at], ["__key", "h", "g", "ids", "rare", "at"])
+
+    body = F.coalesce("__text", F.lit(""))
+    hashes = [F.xxhash64(body).alias("h"), F.hash(body).alias("g")] if not whole else [F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("g")]
+    split = docs.select("__key", *hashes, split_words(F.when(known_to_jvm, F.col("__text"))).alias("words"), F.when(~known_to_jvm, F.col("__text")).alias("odd"))
+    rows = split.mapInArrow(look_up, f"__key {kind}, h long, g int, ids array<int>, rare array<string>, at array<int>")
     if whole:
-        return looked_up.select(F.col("__key").alias(key), "ids")
-
-    # Rows with rare words: their rare words join the table's tail, and each row is encoded from head and own words.
-    done = looked_up.where(~F.col("rest")).select("__key", "ids")
-    last = table.join(F.broadcast(spark.createDataFrame(head_rows.select(["word"]).to_pandas(), "word string")), "word", "left_anti")
-    split = docs.select("__key", "__text", split_words(F.col("__text")).alias("words")).mapInArrow(_missing(head), f"__key {kind}, __text string, words array<string>, rare array<string>")
-    rare = split.where(F.size("rare") > 0).withColumn("row", F.xxhash64(F.coalesce("__text", F.lit(""))))
-    own = rare.select("row", F.explode("rare").alias("word")).distinct().join(last, "word").groupBy("row").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
-    joined = rare.join(own, "row").select("__key", "words", "own")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = dict(zip(head.value["word"].to_pylist(), head.value["ids"].to_pylist(), strict=True))
+        return rows.select(F.col("__key").alias(key), "ids")
+
+    rows = checkpointed(rows)
+    gapped = rows.where(F.size("rare") > 0)
+    each = gapped.select("h", "g", F.explode(F.array_distinct("rare")).alias("word")).distinct()
+    own = each.join(_encoded(each.select("word").distinct(), shipped), "word").groupBy("h", "g").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
+
+    def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for words, own_words in zip(batch["words"].to_pylist(), batch["own"].to_pylist(), strict=True):
-                mine = {w["word"]: w["ids"] for w in own_words}
-                out.append([i for w in words for i in (known[w] if w in known else mine[w])])
+            for ids, rare, at, words in zip(batch["ids"], batch["rare"].to_pylist(), batch["at"].to_pylist(), batch["own"].to_pylist(), strict=True):
+                mine = {w["word"]: w["ids"] for w in words}
+                fill = [mine[w] for w in rare]
+                out.append(np.insert(ids.values.to_numpy(), np.repeat(at, [len(f) for f in fill]), [i for f in fill for i in f]))
             yield pa.RecordBatch.from_arrays([batch["__key"], pa.array(out, pa.list_(pa.int32()))], ["__key", "ids"])
 
-    return done.unionByName(joined.mapInArrow(finish, f"__key {kind}, ids array<int>")).select(F.col("__key").alias(key), "ids")
+    filled = gapped.join(own, ["h", "g"]).select("__key", "ids", "rare", "at", "own").mapInArrow(splice, f"__key {kind}, ids array<int>")
+    return rows.where(F.size("rare") == 0).select("__key", "ids").unionByName(filled).select(F.col("__key").alias(key), "ids")
+
 
+def _encoded(words: DataFrame, shipped) -> DataFrame:
+    """(word, ids) of distinct words (word)."""
 
-def _missing(head):
-    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = set(head.value["word"].to_pylist())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shipped.value)
         for batch in batches:
-            rare = [sorted({w for w in words if w not in known}) for words in batch["words"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rare, pa.list_(pa.string()))], [*batch.schema.names, "rare"])
+            ids = pa.array([encoder.encode_ordinary(w) for w in batch["word"].to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch["word"], ids], ["word", "ids"])
+
+    return words.mapInArrow(run, "word string, ids array<int>")
+
+
+def _exact(vocabulary: bytes):
+    """The ids of a text, its words split by the tables of the ``regex`` module."""
+    import regex
 
-    return missing
+    pattern, encoder = regex.compile(SPLIT.removeprefix("(?U)")), _encoder(vocabulary)
+    return lambda text: [i for w in pattern.findall(text) for i in encoder.encode_ordinary(w)]
 
 
 def id_pieces(spark, vocabulary_path: str = VOCABULARY) -> DataFrame:

@@ -147,7 +147,7 @@ def test_tokens(spark, head):
     tokenizers = pytest.importorskip("tokenizers")
     tokenizer = tokenizers.Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
     tokenizer.encode_special_tokens = True
-    rows = [(1, "a b  c　d \n\n e's we'll 🐉 x² <|endoftext|> \x85 z"), (2, None), (3, ""), (4, " "), (5, "twice"), (5, "twice"), (6, "x" * 5000 + " й слово")]
+    rows = [(1, "a b  c　d \n\n e's we'll 🐉 x² <|endoftext|> \x85 z"), (2, None), (3, ""), (4, " "), (5, "twice"), (5, "twice"), (6, "x" * 5000 + " й слово"), (7, "ab\U00031350c 3\U0001e4f0 \U0001fae8 z\U0001e4d0y")]
     docs = spark.createDataFrame([(*r, 9) for r in rows], "id long, t string, ids int")
     encoded = tokens.encode(docs, "id", "t", head_words=head)
     want = sorted((i, tokenizer.encode(t, add_special_tokens=False).ids if t else []) for i, t in rows)
@@ -319,3 +319,25 @@ def test_fullest_filling_by_brute_force():
         others = [s for s, n in counts.items() for _ in range(n - (s == largest))]
         totals = {sum(c) for k in range(len(others) + 1) for c in itertools.combinations(others, k) if sum(c) <= 100 - largest}
         assert sum(s * n for s, n in packing._Room(counts, largest, 100).fullest()) == max(totals)
+
+
+@pytest.mark.parametrize(("a", "b"), [("ӏ", "l"), ("Ӏ", "I"), ("ѵ", "v"), ("ѡ", "w"), ("ӕ", "æ"), ("ո", "n"), ("Տ", "S"), ("Ꭺ", "A"), ("ꓮ", "A"), ("Ⅳ", "IV"), ("ǆ", "dž"), ("ĳ", "ij"), ("µ", "μ")])
+def test_drawn_alike(a, b):
+    assert form(a) == form(b)
+
+
+def test_form_is_idempotent():
+    every = [chr(c) for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000]
+    changed = [c for c in every if form(form("x" + c + "x")) != form("x" + c + "x")]
+    assert changed == []
+
+
+def test_alike_classes(spark):
+    rows = [(1, "a b"), (2, "a\u00a0b"), (2, "a\u00a0b"), (3, "a b"), (4, None), (5, ""), (7, "A b")]
+    out = {(r["id"], r["n_links"]) for r in lookalikes.alike_classes(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
+    assert out == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_cuts_before_no_mark_of_any_script():
+    text = "कि" * 50
+    assert all(text[a] == "क" for a, _ in chunks.bisect(text, 21, 0))
