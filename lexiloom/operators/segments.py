@@ -2,56 +2,80 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Found = Callable[[str], Iterable[tuple[int, int, str]]]
+_PARAGRAPH = re.compile(r"[^\n]+(?:\n(?!\n)[^\n]*)*")
+_HEADING = re.compile(r"(?:(?i:chapter)\s+[\divxlc]+\.?|[A-Z][A-Z ]{5,}|[IVXLC]+\.\s)", re.ASCII)
+_SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
+_BLANK = " \t\n\r\f\v"
+
 
-def pieces(docs: DataFrame, separator: str) -> DataFrame:
-    """(doc_id, idx, start, end, text): the non-empty pieces of each text between copies of a literal ``separator``.
+def located(docs: DataFrame, found: Found) -> DataFrame:
+    """(doc_id, idx, start, end, text): what ``found`` gives of each text, numbered from 0.
 
-    Offsets are running sums over the pieces, kept in one array per row, so nothing is shuffled.
+    One Arrow pass over (doc_id, text), linear in the text; nothing is shuffled. Null texts give no rows.
     """
-    quoted = r"\Q" + separator + r"\E"
-    parts = F.split("text", quoted)
-    step = len(separator)
-    start = F.aggregate(
-        parts,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,text:string>>").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p) + step).cast("bigint").alias("at"),
-            F.when(F.length(p) > 0, F.array_append(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p)).cast("bigint").alias("end"), p.alias("text")))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return docs.where("text IS NOT NULL").select("doc_id", F.posexplode(start).alias("idx", "p")).select("doc_id", F.col("idx").cast("bigint").alias("idx"), "p.start", "p.end", "p.text")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(doc, i, *hit) for doc, text in zip(frame["doc_id"], frame["text"], strict=True) for i, hit in enumerate(found(text))]
+            yield pd.DataFrame(rows, columns=["doc_id", "idx", "start", "end", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.where("text IS NOT NULL").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, idx long, start long, end long, text string")
+
+
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int, str] | None:
+    part = text[start:end]
+    body = part.strip(_BLANK)
+    start += len(part) - len(part.lstrip(_BLANK))
+    return (start, start + len(body), body) if body else None
 
 
 def literal_hits(docs: DataFrame, needle: str) -> DataFrame:
-    """(doc_id, start): every place, overlapping ones too, where ``needle`` stands.
+    """(doc_id, start): every place, overlapping ones too, where ``needle`` stands."""
 
-    The text is split before each hit, and offsets are running sums over the parts.
-    """
-    parts = F.split("text", r"(?=\Q" + needle + r"\E)")
-    starts = F.aggregate(
-        parts,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p)).cast("bigint").alias("at"), F.when((acc["at"] > 0) | F.startswith(p, F.lit(needle)), F.array_append(acc["out"], acc["at"])).otherwise(acc["out"]).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return docs.select("doc_id", F.explode(starts).alias("start"))
+    def find(text: str) -> Iterator[tuple[int, int, str]]:
+        at = text.find(needle)
+        while at >= 0:
+            yield at, at + len(needle), needle
+            at = text.find(needle, at + 1)
+
+    return located(docs, find).select("doc_id", "start")
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    return pieces(docs, "\n\n")
+    """Blocks between two or more line ends, with exact offsets; the text is without white space at its ends."""
+    return located(docs, lambda text: [(m.start(), m.end(), m.group().strip()) for m in _PARAGRAPH.finditer(text) if m.group().strip()])
+
+
+def _lines(text: str) -> Iterator[tuple[int, int, str]]:
+    at = 0
+    for line in text.split("\n"):
+        if line:
+            yield at, at + len(line), line
+        at += len(line) + 1
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    return pieces(docs, "\n")
+    """The lines that aren't empty."""
+    return located(docs, _lines)
+
+
+def headings(docs: DataFrame) -> DataFrame:
+    """Lines that begin a section: Chapter N, six or more capitals and blanks, or a roman number with a full stop."""
+    return located(docs, lambda text: [(a, b, line.strip()) for a, b, line in _lines(text) if _HEADING.match(line + "\n")])
 
 
-def is_heading(line: Column) -> Column:
-    """Chapter N, a line of capitals, or a roman number with a full stop."""
-    return line.rlike(r"^[ \t]*(?i:chapter|book|part)[ \t]+[A-Za-z0-9]+\.?[ \t]*$") | line.rlike(r"^[A-Z][A-Z '\-]{3,60}$") | line.rlike(r"^[IVXLC]+\.( .*)?$")
+def sentences(docs: DataFrame) -> DataFrame:
+    """Sentences by their closing marks, without white space at their ends."""
+    return located(docs, lambda text: [hit for m in _SENTENCE.finditer(text) if (hit := _trimmed(text, m.start(), m.end()))])
 
 
 def word_chunks(docs: DataFrame, size: int = 50, least: int = 5) -> DataFrame:

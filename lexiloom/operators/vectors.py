@@ -39,6 +39,32 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 1000) -> Da
     return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(product, "i long, j long, cosine double")
 
 
+def binary_jaccard(vectors: DataFrame, asked: str, threshold: float, block: int = 4096) -> DataFrame:
+    """(q, i, jaccard): of each vector (i, v) that the condition ``asked`` names, the others whose positive coordinates share at least ``threshold``.
+
+    Blocks of queries meet blocks of rows as one product of zeros and ones.
+    """
+    n_rows = max(1, -(-vectors.count() // block))
+    n_asked = max(1, -(-vectors.where(asked).count() // block))
+    at = lambda n: F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = vectors.where("i IS NOT NULL AND v IS NOT NULL")
+    left = held.where(asked).select(F.col("i").alias("q"), F.col("v").alias("w"), at(n_asked).alias("a"), every(n_rows).alias("b"))
+    right = held.select(F.col("i").alias("i"), F.col("v").alias("v"), at(n_rows).alias("b"), every(n_asked).alias("a"))
+
+    def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"q": [], "i": [], "jaccard": []})
+        p, q = ((np.stack(v) > 0).astype(np.float32) for v in (x["w"], y["v"]))
+        both = p @ q.T
+        either = p.sum(1)[:, None] + q.sum(1)[None] - both
+        share = np.divide(both, either, out=np.zeros(both.shape), where=either > 0)
+        r, c = np.nonzero((np.round(share, 4) >= threshold) & (x["q"].to_numpy()[:, None] != y["i"].to_numpy()[None]))
+        return pd.DataFrame({"q": x["q"].to_numpy()[r], "i": y["i"].to_numpy()[c], "jaccard": share[r, c]})
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(product, "q long, i long, jaccard double")
+
+
 def recurrence(vectors: DataFrame, size: int, radius: float) -> DataFrame:
     """(window, n, recurrence_rate, determinism, laminarity) of consecutive windows of ``size`` vectors (i, v).
 

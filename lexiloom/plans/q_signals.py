@@ -24,12 +24,7 @@ def cosine_threshold(spark, d):
 
 def binary_jaccard(spark, d):
     """Jaccard of the positive coordinates, of every 50th vector with all others, at least 0.45."""
-    rows = _vectors(spark, d)
-    q = rows.where("i % 50 = 0").select(F.col("i").alias("q"), F.col("v").alias("w"))
-    both = F.aggregate(F.zip_with("v", "w", lambda x, y: ((x > 0) & (y > 0)).cast("int")), F.lit(0), lambda a, x: a + x)
-    either = F.aggregate(F.zip_with("v", "w", lambda x, y: ((x > 0) | (y > 0)).cast("int")), F.lit(0), lambda a, x: a + x)
-    pairs = rows.join(q, F.col("i") != F.col("q"))
-    return pairs.select("q", "i", F.round(both / either, 4).alias("jaccard")).where("jaccard >= 0.45")
+    return vectors.binary_jaccard(_vectors(spark, d), "i % 50 = 0", 0.45).select("q", "i", F.round("jaccard", 4).alias("jaccard"))
 
 
 def recurrence_windows(spark, d):
@@ -53,19 +48,23 @@ def gumbel_pvalues(spark, d):
     return n.join(F.broadcast(fit)).select("doc_id", F.round(p, 6).alias("p"))
 
 
+def _with_project(rows, per):
+    """Rows with the one row of their project; a hot project is spread by the join, not by a window over it."""
+    return rows.join(per.withColumnRenamed("project_id", "__p"), F.col("project_id").eqNullSafe(F.col("__p"))).drop("__p")
+
+
 def z_scores(spark, d):
     """Lengths of a project's documents in deviations from its mean."""
     n = read_table(spark, d, "documents").where("length(text) > 0").select("doc_id", "project_id", F.length("text").alias("x"))
-    w = W.partitionBy("project_id")
-    sd = F.stddev_pop("x").over(w)
-    return n.select("doc_id", F.round((F.col("x") - F.avg("x").over(w)) / F.when(sd > 0, sd).otherwise(1.0), 5).alias("z"))
+    per = n.groupBy("project_id").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+    return _with_project(n, per).select("doc_id", F.round((F.col("x") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0), 5).alias("z"))
 
 
 def uniform_alphabet(spark, d):
     """A letter A to P for each document by its place between the shortest and longest of its project."""
     n = read_table(spark, d, "documents").where("length(text) > 0").select("doc_id", "project_id", F.length("text").alias("x"))
-    w = W.partitionBy("project_id")
-    low, high = F.min("x").over(w), F.max("x").over(w)
+    n = _with_project(n, n.groupBy("project_id").agg(F.min("x").alias("low"), F.max("x").alias("high")))
+    low, high = F.col("low"), F.col("high")
     place = (F.col("x") - low) / F.when(high > low, high - low).otherwise(1)
     return n.select("doc_id", F.char(65 + F.least(F.floor(place * 16), F.lit(15))).alias("letter"))
 

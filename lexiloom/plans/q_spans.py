@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text as T
 from lexiloom.operators import intervals as I
 from lexiloom.operators import segments as S
+from lexiloom.plans import sql as Q
 from lexiloom.session import read_table
 
 BIG = "bigint"
@@ -34,9 +35,9 @@ def track_type_rollup(spark, d):
 
 
 def confidence_thresholds(spark, d):
-    """Visible spans per track, each track with its own least confidence; a missing one counts as 1."""
+    """Visible spans per track, each track with its own least confidence, 0 where none is set; a missing confidence counts as 1."""
     least = spark.createDataFrame([("dialogue", 0.8), ("lexical", 0.5), ("topics", 0.9), ("sentiment", 0.6)], "track string, least double")
-    return _spans(spark, d).join(F.broadcast(least), "track").where(F.coalesce("confidence", F.lit(1.0)) >= F.col("least")).groupBy("track").agg(F.count(F.lit(1)).alias("n"))
+    return _spans(spark, d).join(F.broadcast(least), "track", "left").where(F.coalesce("confidence", F.lit(1.0)) >= F.coalesce("least", F.lit(0.0))).groupBy("track").agg(F.count(F.lit(1)).alias("n"))
 
 
 def density_bins(spark, d):
@@ -142,18 +143,16 @@ def latest_first_spans(spark, d):
 
 
 _S = """WITH span AS (SELECT * FROM (SELECT DISTINCT ann_id, doc_id, project_id, track, body_type, start_pos AS start, end_pos AS "end", confidence FROM annotations WHERE start_pos < end_pos))"""
-_P = """, s AS (SELECT doc_id, unnest(string_split(text, '\n\n')) AS p, generate_subscripts(string_split(text, '\n\n'), 1) AS i FROM documents WHERE text IS NOT NULL),
-o AS (SELECT doc_id, i, p, CAST(coalesce(sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM s),
-para AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS idx, a AS p_start, a + length(p) AS p_end FROM o WHERE length(p) > 0)"""
+_P = ", " + Q.PARA.replace("para AS (SELECT", 'para AS (SELECT doc_id, idx, text, start AS p_start, "end" AS p_end FROM (SELECT') + ")"
 _D = """, d AS (SELECT doc_id, length(text) AS len FROM documents WHERE length(text) > 0), b AS (SELECT track, start, "end", greatest(1, len // 20) AS w FROM span JOIN d USING (doc_id)),
-e AS (SELECT track, unnest(range(least(19, greatest(0, start // w)), least(19, greatest(0, ("end" - 1) // w)) + 1)) AS bin FROM b), n AS (SELECT track, bin, count(*) AS n FROM e GROUP BY ALL)"""
+e AS (SELECT track, unnest(range(least(19, greatest(0, start // w)), least(19, greatest(0, ("end" - 1) // w)) + 1)) AS bin FROM b), c AS (SELECT track, bin, count(*) AS n FROM e GROUP BY ALL), n AS (SELECT track, bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT track FROM c) CROSS JOIN range(20) r(bin) LEFT JOIN c USING (track, bin))"""
 
 QUERIES = {q.__name__: q for q in (viewport, track_counts, track_type_rollup, confidence_thresholds, density_bins, density_normalised, flattened, spans_per_paragraph, paragraph_of_span, entity_paragraphs, annotation_ids, tabular_rows, rule_violations, sentiment_spread, character_index, cooccurrence, endnote_match, pending_documents, latest_first_spans)}
 SQL = {
     "viewport": _S + """SELECT ann_id, doc_id, track, start, "end" FROM span WHERE start < 400 AND "end" > 100 AND track IN ('dialogue', 'lexical', 'sentiment') AND floor(coalesce(confidence, 0.85::DOUBLE) * 10000) >= 7000""",
     "track_counts": _S + 'SELECT track, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(start) AS first, max("end") AS last FROM span GROUP BY track',
     "track_type_rollup": _S + "SELECT track, body_type, count(*) AS n, CAST(grouping(track) * 2 + grouping(body_type) AS BIGINT) AS level FROM span GROUP BY ROLLUP (track, body_type)",
-    "confidence_thresholds": _S + "SELECT track, count(*) AS n FROM span JOIN (VALUES ('dialogue', 0.8::DOUBLE), ('lexical', 0.5), ('topics', 0.9), ('sentiment', 0.6)) t(track, least) USING (track) WHERE coalesce(confidence, 1.0) >= least GROUP BY track",
+    "confidence_thresholds": _S + "SELECT track, count(*) AS n FROM span LEFT JOIN (VALUES ('dialogue', 0.8::DOUBLE), ('lexical', 0.5), ('topics', 0.9), ('sentiment', 0.6)) t(track, least) USING (track) WHERE coalesce(confidence, 1.0) >= coalesce(least, 0) GROUP BY track",
     "density_bins": _S + _D + "SELECT * FROM n",
     "density_normalised": _S + _D + "SELECT track, bin, round(n / CAST(max(n) OVER (PARTITION BY track) AS DOUBLE), 4) AS height FROM n",
     "flattened": _S + """, e AS (SELECT doc_id, start AS pos, 1 AS d FROM span UNION ALL SELECT doc_id, "end", -1 FROM span), g AS (SELECT doc_id, pos, sum(d) AS d FROM e GROUP BY ALL),

@@ -26,7 +26,7 @@ def test_paragraph_offsets(spark):
 
 def test_density(spark):
     spans = spark.createDataFrame([("t", 0, 100), ("t", 50, 150), ("t", 900, 1000), ("t", 5, None)], "k string, start long, end long")
-    assert {r["bin"]: r["n"] for r in intervals.density(spans, ["k"], F.lit(1000), 10).collect()} == {0: 2, 1: 1, 9: 1}
+    assert {r["bin"]: r["n"] for r in intervals.density(spans, ["k"], F.lit(1000), 10).collect()} == {0: 2, 1: 1, 9: 1} | dict.fromkeys(range(2, 9), 0)
 
 
 def test_interval_join_against_nested_loops(spark):
@@ -39,6 +39,59 @@ def test_interval_join_against_nested_loops(spark):
     assert set(rows) == want and len(rows) == len(want)
 
 
+def test_interval_join_of_huge_spans(spark):
+    a = [(1, 0, 2**40, 0), (1, 5, 9, 1), (1, -(2**50), 2**50, 2), (1, 7, 7, 3), (1, None, 4, 4)]
+    b = [(1, 2**39, 2**39 + 10, 0), (1, 0, 2**41, 1), (1, 8, 10, 2)]
+    got = intervals.interval_join(spark.createDataFrame(a, "k int, start long, end long, i int"), spark.createDataFrame(b, "k int, r_start long, r_end long, j int"), ["k"])
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("width", [16, 1 << 16])
+def test_asof_and_nearest_against_loops(spark, width):
+    rng = np.random.default_rng(3)
+    points = [(int(rng.integers(0, 2)), int(x), i) for i, x in enumerate(rng.integers(-300, 300, 80))]
+    marks = [(int(rng.integers(0, 3)), int(x), f"m{x}") for x in set(rng.integers(-250, 250, 30).tolist())]
+    p, m = spark.createDataFrame(points, "k int, x long, i int"), spark.createDataFrame(marks, "k int, at long, v string")
+    for forward in (False, True):
+        want = {}
+        for k, x, i in points:
+            fit = [(a, v) for q, a, v in marks if q == k and (a >= x if forward else a <= x)]
+            want[i] = (min(fit) if forward else max(fit))[1] if fit else None
+        assert {r["i"]: r["v"] for r in intervals.asof_join(p, m, ["k"], "x", "at", "v", forward, width).collect()} == want
+    near = {r["i"]: r["v"] for r in intervals.nearest(p, m, ["k"], "x", "at", "v", 20).collect()}
+    for k, x, i in points:
+        fit = [(abs(a - x), a, v) for q, a, v in marks if q == k and abs(a - x) <= 20]
+        assert near[i] == (min(fit)[2] if fit else None)
+
+
+@pytest.mark.parametrize("width", [16, 1 << 16])
+def test_flatten_and_active_sets(spark, width):
+    rng = np.random.default_rng(4)
+    spans = [(int(rng.integers(0, 2)), int(s), int(s + rng.integers(0, 70)), i) for i, s in enumerate(rng.integers(-100, 100, 40))]
+    df = spark.createDataFrame(spans, "k int, start long, end long, i int")
+    got = {(r["k"], r["start"], r["end"]): r["active"] for r in intervals.flatten(df, "k", "i", width).collect()}
+    want = {}
+    for k in (0, 1):
+        bounds = sorted({x for q, s, e, _ in spans if q == k and s < e for x in (s, e)})
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            ids = sorted(i for q, s, e, i in spans if q == k and s < b and e > a)
+            if ids:
+                want[k, a, b] = ids
+    assert got == {k: len(v) for k, v in want.items()}
+    assert {(r["k"], r["start"], r["end"]): r["ids"] for r in intervals.active_sets(df, "k", "i").collect()} == want
+
+
+def test_clean_text(spark):
+    text = "Œuvre \u0085and ﬁne\u200a“x”—y…\nbro-\n  ken mé-\n\n lange\n 12 \nISBN: 978-3\nDistributed Proofreaders\n\n\n\nend\u00a0"
+    assert value(spark, T.cleaned(F.lit(text))) == 'OEuvre and fine "x"--y...\nbroken mélange\n\nend'
+    assert value(spark, T.normalised(F.lit("e\u0301 \u00a0\n«a»\u00a0"))) == 'é\n"a"'
+
+
+def test_paragraphs_after_many_line_ends(spark):
+    docs = spark.createDataFrame([(1, "\n\n\na\nb\n\n\n  c \n\n \n\nd\n")], "doc_id long, text string")
+    assert [(r["start"], r["end"], r["text"]) for r in segments.paragraphs(docs).orderBy("start").collect()] == [(3, 6, "a\nb"), (9, 13, "c"), (18, 20, "d")]
+
+
 def test_alignment():
     assert alignment.local_alignment(np.eye(20)) == (20.0, 0, 20, 0, 20)
     assert alignment.local_alignment(np.zeros((10, 10))) is None
