@@ -98,6 +98,77 @@ def align_words(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "id_a long, id_b long, score double, a_start long, a_end long, b_start long, b_end long")
 
 
+def edition_rows(pairs: DataFrame) -> DataFrame:
+    """(id, change, a_index, b_index, a_text, b_text) of pairs (id, a, b) of paragraph lists, unchanged paragraphs too.
+
+    Replaced paragraphs are paired in order, what is over is deleted or inserted; an index of -1 stands for no
+    paragraph. Texts are cut to 500 characters.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for ident, a, b in frame[["id", "a", "b"]].itertuples(index=False):
+                a, b = list(a), list(b)
+                for kind, a0, a1, b0, b1 in difflib.SequenceMatcher(None, a, b).get_opcodes():
+                    paired = min(a1 - a0, b1 - b0)
+                    change = "unchanged" if kind == "equal" else "replace"
+                    out += [(ident, change, a0 + k, b0 + k, a[a0 + k][:500], b[b0 + k][:500]) for k in range(paired)]
+                    out += [(ident, "delete", k, -1, a[k][:500], "") for k in range(a0 + paired, a1)]
+                    out += [(ident, "insert", -1, k, "", b[k][:500]) for k in range(b0 + paired, b1)]
+            yield pd.DataFrame(out, columns=["id", "change", "a_index", "b_index", "a_text", "b_text"])
+
+    return pairs.mapInPandas(run, "id string, change string, a_index long, b_index long, a_text string, b_text string")
+
+
+def gumbel(scores: np.ndarray) -> tuple[float, float]:
+    """Place and scale of a Gumbel distribution by moments; (mean, 1) if all scores are alike, (0, 1) without any."""
+    if not len(scores):
+        return 0.0, 1.0
+    if scores.std() < 1e-10:
+        return float(scores.mean()), 1.0
+    scale = float(scores.std() * np.sqrt(6) / np.pi)
+    return float(scores.mean() - 0.5772 * scale), scale
+
+
+def p_value(score: float, place: float, scale: float) -> float:
+    """The chance of a score as high; 1 without a scale."""
+    return float(-np.expm1(-np.exp(-max((score - place) / scale, -700.0)))) if scale > 0 else 1.0
+
+
+def calibrate(similarity: np.ndarray, shuffles: int = 30, seed: int = 42) -> tuple[float, float]:
+    """``gumbel`` of the best alignments after shuffling rows; (0, 1) for fewer than three rows or columns."""
+    if shuffles <= 0 or min(similarity.shape) < 3:
+        return 0.0, 1.0
+    rng, best = np.random.default_rng(seed), []
+    for _ in range(shuffles):
+        mixed = similarity[rng.permutation(len(similarity))]
+        hit = local_alignment(mixed, 1)
+        best.append(hit[0] if hit else 0.0)
+    return gumbel(np.array(best))
+
+
+def align_vectors(pairs: DataFrame, shuffles: int = 30) -> DataFrame:
+    """(id_a, id_b, score, p, a_start, a_end, b_start, b_end) of pairs (id_a, id_b, a, b) of lists of vectors, by cosine."""
+
+    def unit(rows) -> np.ndarray:
+        x = np.stack([np.asarray(r, float) for r in rows])
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for p, q, a, b in frame[["id_a", "id_b", "a", "b"]].itertuples(index=False):
+                if a is not None and b is not None and len(a) and len(b):
+                    similarity = np.clip(unit(a) @ unit(b).T, -1, 1)
+                    place, scale = calibrate(similarity, shuffles)
+                    hits = local_alignments(*similarity.shape, lambda i, j, s=similarity: s[i, j])
+                    out += [(p, q, h[0], p_value(h[0], place, scale), *h[1:]) for h in hits]
+            yield pd.DataFrame(out, columns=["id_a", "id_b", "score", "p", "a_start", "a_end", "b_start", "b_end"])
+
+    return pairs.mapInPandas(run, "id_a long, id_b long, score double, p double, a_start long, a_end long, b_start long, b_end long")
+
+
 def edition_changes(pairs: DataFrame) -> DataFrame:
     """(id, change, n) of pairs (id, a, b) of paragraph lists: unchanged, replaced, inserted and deleted paragraphs."""
 
