@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexiloom.session import checkpointed
+
 #: Units of a bitmap word, as a power of two: one BIGINT holds 64 of them.
 WORD_BITS = 6
 _WORD = 1 << WORD_BITS
@@ -80,7 +82,7 @@ def continuous_periods(spans: DataFrame, keys: Sequence[str], start: str = "star
     named = spans.select(*(F.col(f"`{c}`").alias(a) for c, a in zip(keys, k, strict=True)), F.col(f"`{start}`").alias("__s"), F.col(f"`{end}`").alias("__e"))
     words = span_words(named, k, "__s", "__e")
     united = words.groupBy(*k, "word", "n_words").agg(F.bit_or("bits").alias("bits"))
-    runs = set_runs(united, k).withColumn("shard", F.shiftright("run_start", shard_bits))
+    runs = checkpointed(set_runs(united, k).withColumn("shard", F.shiftright("run_start", shard_bits)))  # read three times
 
     # What lies before a shard, and what comes after: one row per entity and shard.
     by_entity = W.partitionBy(*k).orderBy("shard")
