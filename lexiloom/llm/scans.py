@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,7 +144,7 @@ def word_counts(corpus: DataFrame, flush: int = 1_000_000) -> DataFrame:
     Words broken at a line's end are joined first. Counts are made per batch before rows are.
     """
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for frame in frames:
             words: list[str | None] = []
             for text in frame["text"]:
@@ -155,22 +156,39 @@ def word_counts(corpus: DataFrame, flush: int = 1_000_000) -> DataFrame:
             if words:
                 yield _counted(words)
 
-    rows = corpus.where(F.length("text") > 0).select("text").mapInPandas(count, "a string, b string, n long")
-    pair = F.when(F.col("b").isNotNull(), F.xxhash64("a", "b"))
-    word = F.when(F.col("b").isNull(), F.col("a"))
-    return rows.select(word.alias("word"), pair.alias("pair"), "n").groupBy("word", "pair").agg(F.sum("n").alias("n"))
+    rows = corpus.where(F.length("text") > 0).select("text").mapInArrow(lambda batches: (_counted_batch(f) for f in count(b.to_pandas() for b in batches)), "word string, pair long, n long")
+    return rows.groupBy("word", "pair").agg(F.sum("n").alias("n"))
+
+
+def _counted_batch(counted: tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """Words with a null pair, then pairs with a null word."""
+    words, single, pairs, n = counted
+    word = pa.concat_arrays([words, pa.nulls(len(pairs), pa.string())])
+    pair = pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(pairs)])
+    return pa.RecordBatch.from_arrays([word, pair, pa.array(np.concatenate([single, n]))], ["word", "pair", "n"])
+
+
+def _word_hashes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+
+
+def _pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of two words in sequence from the hashes of each."""
+    mixed = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b
+    mixed ^= mixed >> np.uint64(32)
+    return (mixed * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
-def _counted(words: list[str | None]) -> pd.DataFrame:
+def _counted(words: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words and how often they stand, hashes of pairs and how often they stand."""
     coded = pa.array(words, pa.string()).dictionary_encode()
-    names = np.append(coded.dictionary.to_numpy(zero_copy_only=False), None)
-    codes = coded.indices.fill_null(len(names) - 1).to_numpy().astype(np.int64)
-    single = np.bincount(codes, minlength=len(names))[:-1]
-    inside = (codes[:-1] < len(names) - 1) & (codes[1:] < len(names) - 1)
-    pairs, n = np.unique(codes[:-1][inside] * len(names) + codes[1:][inside], return_counts=True)
-    first = np.concatenate([np.arange(len(names) - 1), pairs // len(names)])
-    second = np.concatenate([np.full(len(names) - 1, len(names) - 1), pairs % len(names)])
-    return pd.DataFrame({"a": names[first], "b": names[second], "n": np.concatenate([single, n])})
+    size = len(coded.dictionary)
+    codes = coded.indices.fill_null(size).to_numpy().astype(np.int64)
+    single = np.bincount(codes, minlength=size + 1)[:size]
+    inside = (codes[:-1] < size) & (codes[1:] < size)
+    pairs, n = np.unique(codes[:-1][inside] * (size + 1) + codes[1:][inside], return_counts=True)
+    hashes = _word_hashes(coded.dictionary.to_pylist())
+    return coded.dictionary, single, _pair_hashes(hashes[pairs // (size + 1)], hashes[pairs % (size + 1)]) if len(pairs) else np.zeros(0, np.int64), n
 
 
 #: The confusions of letters with letters: (read, true).
@@ -376,7 +394,7 @@ def find_faults(pages: DataFrame, corpus: DataFrame, head_words: int = HEAD_WORD
     lines = checkpointed(lines)
 
     # Each line with the counts of its own pairs.
-    edges = lines.mapInPandas(_line_pairs, "field string, record_id long, line_no long, a string, b string").withColumn("pair", F.xxhash64("a", "b"))
+    edges = lines.mapInPandas(_line_pairs, "field string, record_id long, line_no long, a string, b string, pair long")
     counts = edges.join(counted.where("pair IS NOT NULL").select("pair", "n"), "pair").groupBy(*where).agg(F.collect_list(F.struct("a", "b", "n")).alias("pairs"))
 
     logs = {rule: math.log(p) for rule, p in chances.items()}
@@ -408,7 +426,8 @@ def _line_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             options = {d["word"]: [d["word"], *(r["printed"] for r in d["readings"])] for d in doubts}
             pairs = {(a, b) for x, y in zip(words, words[1:], strict=False) if x in options or y in options for a in options.get(x, [x]) for b in options.get(y, [y])}
             out += [(field, record, line_no, a, b) for a, b in sorted(pairs)]
-        yield pd.DataFrame(out, columns=["field", "record_id", "line_no", "a", "b"])
+        rows = pd.DataFrame(out, columns=["field", "record_id", "line_no", "a", "b"])
+        yield rows.assign(pair=_pair_hashes(_word_hashes(rows["a"].tolist()), _word_hashes(rows["b"].tolist())) if len(rows) else [])
 
 
 def _error_line(word: str, printed: str, first_part: str | None) -> int:
