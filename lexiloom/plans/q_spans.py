@@ -103,7 +103,7 @@ def rule_violations(spark, d):
 
 def sentiment_spread(spark, d):
     """Mean and population deviation of confidence per track and document with more than one span."""
-    rows = _spans(spark, d).groupBy("doc_id", "track").agg(F.count("confidence").alias("n"), F.round(F.avg("confidence"), 7).alias("mean"), F.round(F.stddev_pop("confidence"), 7).alias("spread"))
+    rows = _spans(spark, d).groupBy("doc_id", "track").agg(F.count("confidence").alias("n"), F.round(F.avg("confidence"), 9).alias("mean"), F.round(F.stddev_pop("confidence"), 9).alias("spread"))
     return rows.where("n > 1")
 
 
@@ -166,7 +166,7 @@ SQL = {
         SELECT ann_id, concat_ws(chr(9), doc_id, start_pos, end_pos, coalesce(track, '.'), CASE WHEN len(a) > 0 THEN array_to_string(a, ';') ELSE '.' END) AS line FROM x""",
     "rule_violations": """SELECT rule, count(*) AS n FROM (SELECT unnest([CASE WHEN start_pos IS NULL OR end_pos IS NULL THEN 'no bounds' END, CASE WHEN start_pos >= end_pos THEN 'empty span' END, CASE WHEN confidence < 0 OR confidence > 1 THEN 'confidence out of range' END,
         CASE WHEN evidence_level IS NULL THEN 'no evidence level' END, CASE WHEN creator IS NULL THEN 'no creator' END]) AS rule FROM annotations) WHERE rule IS NOT NULL GROUP BY rule""",
-    "sentiment_spread": _S + "SELECT doc_id, track, count(confidence) AS n, round(avg(confidence), 7) AS mean, round(stddev_pop(confidence), 7) AS spread FROM span GROUP BY ALL HAVING count(confidence) > 1",
+    "sentiment_spread": _S + "SELECT doc_id, track, count(confidence) AS n, round(avg(confidence), 9) AS mean, round(stddev_pop(confidence), 9) AS spread FROM span GROUP BY ALL HAVING count(confidence) > 1",
     "character_index": """WITH b AS (SELECT project_id, body_value AS name, doc_id FROM (SELECT DISTINCT * FROM entities) WHERE entity_type IN ('PER', 'PERSON') UNION ALL SELECT project_id, referent_id, doc_id FROM (SELECT DISTINCT * FROM coreference))
         SELECT project_id, name, count(*) AS mentions, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM b WHERE name IS NOT NULL GROUP BY ALL""",
     "cooccurrence": """WITH n AS (SELECT project_id, doc_id, body_value AS name FROM entities WHERE body_value IS NOT NULL AND entity_type IN ('PER', 'PERSON')), c AS (SELECT project_id, name, count(*) AS n FROM n GROUP BY ALL),
