@@ -76,3 +76,37 @@ def text_signals(texts: DataFrame) -> DataFrame:
 
     kinds = ", ".join(f"{c} {t}" for c, t in texts.dtypes if c != "text")
     return texts.mapInPandas(run, f"{kinds}, {SIGNALS}")
+
+
+def chunk_similarity(docs: DataFrame, stop: list[str], size: int = 50, least: int = 5, threshold: float = 0.3) -> DataFrame:
+    """(doc_id, i, j, jaccard), i < j: chunks of ``size`` words of one text (doc_id, text) that share at least ``threshold`` of their content words.
+
+    A text lies whole in its row, so its chunks meet as one product of zeros and ones, in strips, and nothing is
+    shuffled. Chunks under ``least`` words and those without content words are left out, null texts have none.
+    """
+    left_out = frozenset(stop)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            parts = []
+            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+                words = [w for w in re.split(r"[ \t\n\r]+", text) if w]
+                chunks = [words[a : a + size] for a in range(0, len(words), size)]
+                sets = [{w for w in _WORD.findall(" ".join(c).lower()) if len(w) > 1 and w not in left_out} if len(c) >= least else set() for c in chunks]
+                codes: dict[str, int] = {}
+                at = [(k, codes.setdefault(w, len(codes))) for k, s in enumerate(sets) for w in s]
+                if not at:
+                    continue
+                x = np.zeros((len(sets), len(codes)), np.float32)
+                x[tuple(np.array(at).T)] = 1
+                n = x.sum(1)
+                for a in range(0, len(x), 512):
+                    both = (x[a : a + 512] @ x.T).astype(float)
+                    share = both / np.maximum(n[a : a + 512, None] + n[None] - both, 1)
+                    i, j = np.nonzero(share >= threshold)
+                    later = j > i + a
+                    parts.append(pd.DataFrame({"doc_id": doc, "i": i[later] + a, "j": j[later], "jaccard": share[i, j][later]}))
+            yield pd.concat(parts) if parts else pd.DataFrame({"doc_id": [], "i": [], "j": [], "jaccard": []})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.where("text IS NOT NULL").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, i long, j long, jaccard double")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
-from lexiloom.operators import alignment
+from lexiloom.operators import alignment, lexical
 from lexiloom.operators import intervals as I
 from lexiloom.operators import segments as S
 from lexiloom.operators import tracks as K
@@ -174,13 +174,7 @@ def repeated_runs(spark, d):
 
 def chunk_similarity(spark, d):
     """Chunks of 50 words of one document that share at least 0.3 of their content words."""
-    words = F.array_distinct(F.filter(T.words(F.col("chunk")), lambda w: (F.length(w) > 1) & ~w.isin(T.STOP_WORDS)))
-    chunks = S.word_chunks(_docs(spark, d)).select("doc_id", "idx", words.alias("w")).where("size(w) > 0").withColumn("n", F.size("w"))
-    each = chunks.select("doc_id", "idx", "n", F.explode("w").alias("w"))
-    other = each.select(F.col("doc_id").alias("d"), F.col("idx").alias("j"), F.col("n").alias("m"), F.col("w").alias("v"))
-    both = each.join(other, (F.col("doc_id") == F.col("d")) & (F.col("w") == F.col("v")) & (F.col("idx") < F.col("j"))).groupBy("doc_id", "idx", "j", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    share = F.col("c") / (F.col("n") + F.col("m") - F.col("c"))
-    return both.where(share >= 0.3).select("doc_id", F.col("idx").alias("i"), "j", F.round(share, 6).alias("jaccard"))
+    return lexical.chunk_similarity(_docs(spark, d), T.STOP_WORDS).withColumn("jaccard", F.round("jaccard", 6))
 
 
 def section_blocks(spark, d):
