@@ -341,3 +341,29 @@ def test_alike_classes(spark):
 def test_cuts_before_no_mark_of_any_script():
     text = "कि" * 50
     assert all(text[a] == "क" for a, _ in chunks.bisect(text, 21, 0))
+
+
+def test_names_of_large_projects(spark):
+    """What only many names bring: last names nearly alike, persons tagged as organisations, unlisted short forms, words with two typing errors."""
+    rows = [("big", t, "PER") for t in ("Walter Cromuloquist", "Augustus Cromulloquist", "Dr. Cromuloquist")]
+    # The last name is tagged as an organisation's in three projects, as a person's in more.
+    rows += [(f"t{i}", t, "PER") for i in range(5) for t in ("Ignatius Brynhaven", "Ignatius Brynhavrn")] + [(f"t{i}", "Clara Brynhaven", "ORG") for i in range(3)]
+    families = list(zip(("Dunhaven", "Karnrigg", "Whitpool", "Cromsett"), ("Walter", "Ursula", "Tobias", "Matilda"), strict=True))
+    rows += [(f"f{i}", f"{given} {last}", "PER") for i, (last, other) in enumerate(families) for given in ("Penelope", "Nell", other)]
+    rows += [("org", t, "ORG") for t in ("Yarlund Insurance Office", "Y.I.O.", "YIO", "Yarlund Insurance Oefice", "Yarlund Insurance Offce")]
+    rows += [("typed", t, "PER") for t in ("Josephine Strathenozine", "Joesphien Strathenozine", "Jo Strathenozine")]
+    rows += [("rare", t, "PER") for t in ("Edward Daskrigg", "Ewdarf Daskrigg", "E. Daskrigg")] + [(f"e{i}", "Edward Holm", "PER") for i in range(9)]
+    short = spark.createDataFrame([("Josephine", "Jo")], "given_name string, short_name string")
+    linked = names.link_names(spark.createDataFrame(rows, "scope string, name string, kind string"), short)
+    entity = {(r["scope"], r["name"]): r["entity"] for r in linked.collect()}
+    assert entity["big", "Dr. Cromuloquist"] == entity["big", "Walter Cromuloquist"] != entity["big", "Augustus Cromulloquist"]
+    assert all(entity[f"t{i}", "Ignatius Brynhaven"] == entity[f"t{i}", "Ignatius Brynhavrn"] for i in range(5))
+    assert all(entity[f"f{i}", f"Nell {last}"] == entity[f"f{i}", f"Penelope {last}"] != entity[f"f{i}", f"{other} {last}"] for i, (last, other) in enumerate(families))
+    assert len({v for (scope, _), v in entity.items() if scope == "org"}) == 1
+    assert len({v for (scope, _), v in entity.items() if scope == "typed"}) == 1
+    assert len({v for (scope, _), v in entity.items() if scope == "rare"}) == 1
+
+
+def test_misspelt_names_gather_round_the_right_one():
+    parsed = [names.parse(t, 1, False, {}, often=often) for t, often in (("Roosalinnd Rookhaven", 1), ("Rosakind Rookhaven", 1), ("Rosalind Rookhaven", 40))]
+    assert len(names.resolve(parsed)) == 1
