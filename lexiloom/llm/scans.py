@@ -30,11 +30,12 @@ _ORDINAL = re.compile(r"\d*(?:1st|2nd|3rd|\dth)", re.I)
 #: the confusions differ from this mean: by a factor of ``_SPREAD`` at most, and as if ``_ERROR_WEIGHT`` characters had told it before.
 _ERROR, _ERROR_WEIGHT, _SPREAD = 0.003, 1000, 3.0
 _HYPHENS = "-¬\xad‐"
-_BREAK = re.compile(r"(?<=[^\W\d_])[-¬\xad‐][ ]*\n[ ]*(?=[^\W\d_])")
+_BREAK = re.compile(r"[-¬\xad‐](?<=[^\W\d_].)[ ]*\n[ ]*(?=[^\W\d_])")  # begins with the hyphen, which is found faster than a letter before it
 _PY_WORD = re.compile(r"[\w@$]+(?:-[\w@$]+)*")
 _ROMAN = re.compile(r"(?=[ivxlcdm])(?:m{0,3})(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 _NUMBER = re.compile(r"\s*(?:(page\s+)|([-–—\[(]+)\s*)?(\d{1,4}|[\dlO]*\d[\dlO]*|[ivxlcdm]+)(?:\s*([-–—\])]+)|(\.))?\s*$", re.I)
 _CHAPTER = re.compile(r"\s*(?:Chapter|Part|Book|Volume|Act|Scene|Canto|Section|Prologue|Epilogue|Preface|Introduction)\b(?:\s+(?:[Tt]he\s+)?[\w-]+)?[.:]?\s*")
+_CLOSED = re.compile(r"[.!?,;:\"]\s")
 _HEADER_NUMBER = re.compile(r"^\d{1,4}\s{2,}|\s{2,}\d{1,4}$|\s+[·•|]\s+\d{1,4}$")
 
 #: Words, at most, that every task knows to be without a likelier reading; other words are joined.
@@ -59,17 +60,15 @@ def _header_core(line: str) -> tuple[str, bool]:
 
 
 def _titled(core: str) -> bool:
-    start = core[:80].split(None, 2)
-    if len(core) > 60 or len(start) > 1 and start[1][0].islower() and start[1][0] not in "lſ" and start[1] not in ("of", "the", "and", "in"):
+    # What tells most lines of text apart costs least and comes first.
+    if not 3 <= len(core) <= 60 or core[-1] in ".!?,;:\"'-¬\xad‐”»":
         return False
     words = core.split()
     if len(words) > 1 and words[1][0].islower() and words[1][0] not in "lſ" and words[1] not in ("of", "the", "and", "in"):
         return False
-    letters = [c for c in core if c.isalpha()]
-    if not letters or not 3 <= len(core) <= 60 or core[-1] in ".!?,;:\"'-¬\xad‐”»" or re.search(r"[.!?,;:\"]\s", core):
+    if not all(w[0].isupper() or w[0] in "0158l" or w in ("of", "the", "and", "in") for w in words) and not all(c.isupper() or c in "lſ" or not c.isalpha() for c in core):
         return False
-    capital = sum(c.isupper() or c in "lſ" for c in letters)
-    return capital == len(letters) or all(w[0].isupper() or w[0] in "0158l" or w in ("of", "the", "and", "in") for w in words)
+    return not _CLOSED.search(core) and any(map(str.isalpha, core))
 
 
 def read_page(lines: list[str]) -> Page:
@@ -359,7 +358,7 @@ def find_faults(pages: DataFrame, corpus: DataFrame, head_words: int = HEAD_WORD
     """
     spark = pages.sparkSession
     counted = checkpointed(word_counts(corpus))
-    vocab = counted.where("word IS NOT NULL").select("word", "n")
+    vocab = checkpointed(counted.where("word IS NOT NULL").select("word", "n"))  # read many times, and few rows beside the pairs
     doubtful, chances = suspects(vocab)
     doubtful = checkpointed(doubtful)
     head = vocab.orderBy(F.desc("n"), "word").limit(head_words).join(doubtful.select("word"), "word", "left_anti")

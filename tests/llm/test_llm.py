@@ -367,3 +367,23 @@ def test_names_of_large_projects(spark):
 def test_misspelt_names_gather_round_the_right_one():
     parsed = [names.parse(t, 1, False, {}, often=often) for t, often in (("Roosalinnd Rookhaven", 1), ("Rosakind Rookhaven", 1), ("Rosalind Rookhaven", 40))]
     assert len(names.resolve(parsed)) == 1
+
+
+def test_words_are_read_without_the_pairs(spark, monkeypatch):
+    """The words are read a dozen times; the pairs, many times as many rows, only once."""
+    kept = []
+    monkeypatch.setattr(scans, "checkpointed", lambda df: kept.append(names.checkpointed(df)) or kept[-1])
+    pages = spark.createDataFrame([("f", 1, "the old mill stood by the river\nthe o1d mill")], "field string, record_id long, text string")
+    found = {r["word"]: r["printed"] for r in scans.find_faults(pages, pages.select("text")).collect() if r["noise"] == "misread"}
+    assert found == {"o1d": "old"}
+    words = [df for df in kept if df.columns == ["word", "n"]]
+    assert len(words) == 1 and {r["word"] for r in words[0].collect()} == {"the", "old", "mill", "stood", "by", "river", "o1d"}
+
+
+@pytest.mark.parametrize("line, titled", [("THE OLD MILL", True), ("The Mill of Karn", True), ("The old mill", False), ("The Mill.", False), ("Mr. Karn", False), ("A", False), ("1 2 3", False), ("X" * 61, False), ("lSLAND AND SEA", True)])
+def test_titled_lines(line, titled):
+    assert scans._titled(line) is titled
+
+
+def test_breaks():
+    assert scans._BREAK.sub("", "mill-\n stone, mill -\nstone, 1-\n2, Müh¬ \nle, a--\nb") == "millstone, mill -\nstone, 1-\n2, Mühle, a--\nb"
