@@ -279,7 +279,10 @@ def _apart(a: Name, b: Name) -> int:
     """Typing errors between the words that must be alike in spellings of one: last names, or an organisation's words that aren't cut."""
     if not a.org:
         return edits(a.last, b.last)
-    return sum(edits(x, y) for x, y in zip(a.words, b.words, strict=False) if not _cut(x) and not _cut(y)) if min(len(a.words), len(b.words)) > 1 else 0
+    if min(len(a.words), len(b.words)) < 2:
+        return 0
+    words = enumerate(zip(a.words, b.words, strict=False))
+    return sum(edits(x, y) if not _cut(x) and not _cut(y) else 3 * (i == 0 and x != y) for i, (x, y) in words)  # a first word cut short tells less than a misspelt one
 
 
 def _pairs_alike(a: list[str], b: list[str]) -> Iterator[tuple[str, str]]:
@@ -352,8 +355,9 @@ def names_of(mentions: DataFrame) -> DataFrame:
     named = named.where("capital OR told").unionByName(named.where("NOT capital AND NOT told").join(borrowed.select("scope", "name"), ["scope", "name"], "left_semi"))
 
     words = F.filter(F.split(F.lower("name"), r"[\s,]+"), lambda w: F.length(w) > 3)
-    # Persons are tagged as organisations now and then, so in a large corpus their last names are as well, but more often as persons.
-    org_words = named.where("tagged <> person").select("scope", "person", F.explode(F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))).alias("word"))
+    # Organisations have names of places, which are last names too, after 'the' or 'of': not counted there, and not if persons bear them as often.
+    kinds = F.filter(F.split(F.regexp_replace(F.lower("name"), r"^\s*the\s+|\s+of\s.*$", ""), r"[\s,]+"), lambda w: F.length(w) > 3)
+    org_words = named.where("tagged <> person").select("scope", "person", F.explode(F.slice(kinds, 2, F.greatest(F.size(kinds), F.lit(1)))).alias("word"))
     scopes = lambda person: F.countDistinct(F.when(F.col("person") == person, F.col("scope")))
     org_words = org_words.groupBy("word").agg(scopes(False).alias("scopes"), scopes(True).alias("of_persons")).where("scopes >= 3 AND scopes > of_persons").select("word")
     borne = named.select("scope", "name", F.explode(words).alias("word")).join(org_words, "word", "left_semi").select("scope", "name").distinct().withColumn("bears", F.lit(True))
